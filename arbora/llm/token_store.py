@@ -205,6 +205,17 @@ class Pieces(dict):
             return self.whole(text)
 
 
+_pieces: dict[str, Pieces] = {}
+
+
+def pieces_of(file: str) -> Pieces:
+    """A worker's pieces for a vocabulary file, kept from task to task."""
+    if file not in _pieces:
+        _pieces.clear()
+        _pieces[file] = Pieces(file)
+    return _pieces[file]
+
+
 def bytes_as_letters() -> dict[int, str]:
     """The byte-level alphabet: bytes that do not print stand for characters from 256 on."""
     prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -227,7 +238,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        pieces = Pieces(tokenizer)
+        pieces = pieces_of(tokenizer)
         kind = np.dtype(pieces.kind)
         end = np.array([end_id], kind).tobytes()
         doc_ids: list[int | None] = []
