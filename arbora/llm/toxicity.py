@@ -27,15 +27,31 @@ _END, _LINE = 4096.0, b"\x01"
 _STRIP = b".,;:!?\"'()[]{}*#$%&|<>"
 
 
-def buckets(token: bytes) -> list[int]:
-    """Hashed buckets of a raw token: the word, prefixes of 3 to 5 and inner n-grams of 4 and 5 characters."""
-    word = token.decode("utf-8", "replace").lower().strip(_STRIP.decode())
-    if not word:
-        return []
-    parts = {f"={word}"}
-    parts.update(f"^{word[:k]}" for k in (3, 4, 5) if len(word) > k)
-    parts.update(word[i : i + k] for k in (4, 5) for i in range(1, len(word) - k + 1))
-    return sorted({xxhash.xxh32_intdigest(p.encode("utf-8", "replace")) >> (32 - BITS) for p in parts})
+def buckets(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, token number) pairs of raw tokens, by token: the word, and byte 4- and 5-grams of ^word$.
+
+    Case and marks at the ends do not count; tokens without a letter or digit left, and line ends, have none.
+    """
+    lower = b"\n".join(tokens).decode("utf-8", "replace").lower().encode("utf-8", "replace").split(b"\n")
+    words = [b"" if w == _LINE or not (bare := w.strip(_STRIP)) else b"^" + bare + b"$" for w in lower]
+    raw = np.frombuffer(b"".join(words), np.uint8).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), np.fromiter(map(len, words), np.int64, len(words)))
+    some = np.fromiter(map(bool, words), bool, len(words))
+    column = [(np.fromiter(map(xxhash.xxh32_intdigest, words), np.uint64, len(words))[some] >> np.uint64(32 - BITS)).astype(np.int32)]
+    token = [np.flatnonzero(some).astype(np.int32)]
+    for n in (4, 5):
+        m = len(raw) - n + 1
+        if m <= 0:
+            continue
+        code = np.full(m, n, np.uint64)
+        for k in range(n):
+            code = (code << np.uint64(8)) | raw[k : k + m]
+        inside = owner[:m] == owner[n - 1 :]
+        column.append(((code[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int32))
+        token.append(owner[:m][inside])
+    columns, tokens_ = np.concatenate(column), np.concatenate(token)
+    order = np.argsort(tokens_, kind="stable")
+    return columns[order], tokens_[order]
 
 
 def ends_sentence(token: bytes) -> bool:
@@ -54,9 +70,10 @@ class Model:
     slope: float = 1.0
     shift: float = 0.0
 
-    def token(self, token: bytes) -> float:
-        at = buckets(token)
-        return float(self.weights[at].sum()) if at else 0.0
+    def of(self, tokens: list[bytes]) -> np.ndarray:
+        """Weight of each raw token."""
+        column, token = buckets(tokens)
+        return np.bincount(token, self.weights[column], minlength=len(tokens))
 
     def combined(self, p: np.ndarray) -> float:
         """Noisy-or of sentence probabilities, calibrated."""
@@ -66,46 +83,52 @@ class Model:
 
 
 class TokenWeights(dict):
-    """Raw token -> weight, plus a mark where it ends a sentence; bounded."""
+    """Raw token -> weight, plus a mark where it ends a sentence; bounded between batches."""
 
     def __init__(self, model: Model) -> None:
         super().__init__()
         self.model = model
 
-    def __missing__(self, token: bytes) -> float:
-        w = min(max(self.model.token(token), -1000.0), 1000.0) + (_END if ends_sentence(token) else 0.0)
-        if len(self) < REMEMBERED:
-            self[token] = w
-        return w
-
-
-def sentence_scores(text: bytes, weights: TokenWeights) -> np.ndarray:
-    """Probability of each sentence; a text without tokens is one empty sentence."""
-    found = tokens_of(text)
-    if not found:
-        return sigmoid(np.array([weights.model.bias]))
-    w = np.fromiter(map(weights.__getitem__, found), np.float64, len(found))
-    end = w > _END / 2
-    w[end] -= _END
-    starts = np.flatnonzero(end[:-1]) + 1
-    return sigmoid(np.add.reduceat(w, np.concatenate(([0], starts))) + weights.model.bias)
-
-
-def telling_buckets(code: np.ndarray, owner: np.ndarray, column: np.ndarray, size: np.ndarray, y: np.ndarray, least: float = 4.0) -> np.ndarray:
-    """Buckets whose share of documents differs between the labels by `least` standard errors; y is -1 for rows left out."""
-    n1, n0 = max(int((y == 1).sum()), 1), max(int((y == 0).sum()), 1)
-    pairs = np.unique(owner * (len(size) + 1) + code)
-    doc, kind = pairs // (len(size) + 1), pairs % (len(size) + 1)
-    doc, kind = doc[y[doc] >= 0], kind[y[doc] >= 0]
-    begin = np.concatenate(([0], np.cumsum(size)))[:-1]
-    take = np.repeat(begin[kind] - np.concatenate(([0], np.cumsum(size[kind])))[:-1], size[kind]) + np.arange(int(size[kind].sum()))
-    met = np.unique(np.repeat(doc, size[kind]) * (1 << BITS) + column[take])
-    toxic = y[met >> BITS] == 1
-    c1 = np.bincount(met[toxic] & ((1 << BITS) - 1), minlength=1 << BITS)
-    c0 = np.bincount(met[~toxic] & ((1 << BITS) - 1), minlength=1 << BITS)
-    p = (c1 + c0 + 1) / (n1 + n0 + 2)
-    z = (c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    return (np.abs(z) >= least) & (c1 + c0 >= 3)
+    def meet(self, texts: list[bytes]) -> list[list[bytes]]:
+        """Tokens of texts, whose weights are known from now on."""
+        found = [tokens_of(x) for x in texts]
+        if len(self) > REMEMBERED:
+            self.clear()
+        new = [t for t in set().union(*found) if t not in self]
+        if new:
+            w = np.clip(self.model.of(new), -1000.0, 1000.0) + np.where([ends_sentence(t) for t in new], _END, 0.0)
+            self.update(zip(new, w.tolist(), strict=True))
+        return found
+
+    def sentences(self, found: list[bytes]) -> np.ndarray:
+        """Probability of each sentence of a text's tokens; no token is one empty sentence."""
+        if not found:
+            return sigmoid(np.array([self.model.bias]))
+        w = np.fromiter(map(self.__getitem__, found), np.float64, len(found))
+        end = w > _END / 2
+        w[end] -= _END
+        starts = np.flatnonzero(end[:-1]) + 1
+        return sigmoid(np.add.reduceat(w, np.concatenate(([0], starts))) + self.model.bias)
+
+    def documents(self, texts: list[bytes]) -> np.ndarray:
+        """Score of each text."""
+        return np.array([self.model.combined(self.sentences(x)) for x in self.meet(texts)], float)
+
+
+def telling_buckets(codes: list[np.ndarray], column: np.ndarray, begin: np.ndarray, y: np.ndarray, least: float = 3.0) -> np.ndarray:
+    """Buckets whose share of documents differs between the labels by `least` standard errors; y is -1 for rows left out.
+
+    codes are the token kinds of each document; column[begin[k]:begin[k + 1]] the buckets of kind k.
+    """
+    count = np.zeros((2, 1 << BITS), np.int64)
+    for row, code in zip(y.tolist(), codes, strict=True):
+        if row >= 0:
+            parts = [column[begin[k] : begin[k + 1]] for k in np.unique(code).tolist()]
+            count[row, np.unique(np.concatenate(parts))] += 1
+    n0, n1 = max(int((y == 0).sum()), 1), max(int((y == 1).sum()), 1)
+    p = (count.sum(0) + 1) / (n1 + n0 + 2)
+    z = (count[1] / n1 - count[0] / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+    return (np.abs(z) >= least) & (count.sum(0) >= 3)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", steps: int = 250) -> Model:
@@ -125,23 +148,24 @@ def fitted(texts: list[bytes], y: np.ndarray, n0: int, n1: int, steps: int = 250
     at = 0
     for text in texts:
         found = tokens_of(text) or [_LINE]
-        codes.append(np.fromiter((kinds.setdefault(t, len(kinds)) for t in found), np.int64, len(found)))
+        codes.append(np.fromiter((kinds.setdefault(t, len(kinds)) for t in found), np.int32, len(found)))
         ends = np.array([ends_sentence(t) for t in found])
         starts = np.concatenate(([0], np.flatnonzero(ends[:-1]) + 1)) + at
         cuts.append(starts)
         sentences.append(len(starts))
         at += len(found)
-    code, cut = np.concatenate(codes), np.concatenate(cuts)
+    cut = np.concatenate(cuts)
     owner = np.repeat(np.arange(len(texts)), sentences)
-    token_sentence = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, at)))
-    made = [buckets(t) for t in kinds]
-    size = np.array([len(m) for m in made])
-    column = np.fromiter((b for m in made for b in m), np.int64, int(size.sum()))
-    kind = np.repeat(np.arange(len(made)), size)
+    column, kind = buckets(list(kinds))
+    begin = np.searchsorted(kind, np.arange(len(kinds) + 1))
     held = np.arange(len(y)) % 5 == 4
-    telling = telling_buckets(code, np.repeat(np.arange(len(texts)), [len(c) for c in codes]), column, size, np.where(held, -1, y))
-    keep = telling[column]
-    column, kind = column[keep], kind[keep]
+    keep = telling_buckets(codes, column, begin, np.where(held, -1, y))[column]
+    column, kind, size = column[keep], kind[keep], len(kinds)
+    code = np.concatenate(codes)
+    # only tokens with a telling bucket move a sentence
+    live = np.bincount(kind, minlength=size)[code] > 0
+    token_sentence = np.repeat(np.arange(len(cut), dtype=np.int32), np.diff(np.append(cut, at)))[live]
+    code = code[live]
     balance = np.where(y == 1, share / (y == 1).sum(), (1 - share) / (y == 0).sum())
     learn = np.where(held, 0.0, balance)
     learn /= learn.sum()
@@ -149,8 +173,8 @@ def fitted(texts: list[bytes], y: np.ndarray, n0: int, n1: int, steps: int = 250
     m, s, mb, sb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
 
     def forward() -> tuple[np.ndarray, np.ndarray]:
-        weight = np.bincount(kind, w[column], minlength=len(made))
-        p = sigmoid(np.add.reduceat(weight[code], cut) + b)
+        weight = np.bincount(kind, w[column], minlength=size)
+        p = sigmoid(np.bincount(token_sentence, weight[code], minlength=len(cut)) + b)
         return p, np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(y))
 
     for t in range(1, steps + 1):
@@ -159,7 +183,7 @@ def fitted(texts: list[bytes], y: np.ndarray, n0: int, n1: int, steps: int = 250
         # d loss / d log(1 - P): for label 1, -log P falls as none falls; for label 0 the loss is -none
         slope = np.where(y == 1, np.exp(none) / np.maximum(doc, 1e-9), -1.0) * learn
         g = slope[owner] * -p  # d none / d margin = -p
-        gw = np.bincount(column, np.bincount(code, g[token_sentence], minlength=len(made))[kind], minlength=len(w)) + l2 * w
+        gw = np.bincount(column, np.bincount(code, g[token_sentence], minlength=size)[kind], minlength=len(w)) + l2 * w
         gb = float(g.sum())
         m += 0.1 * (gw - m)
         s += 0.01 * (gw * gw - s)
@@ -182,7 +206,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
     weights = TokenWeights(model)
 
     def work(batch: pa.RecordBatch) -> dict:
-        found = np.array([model.combined(sentence_scores(x, weights)) for x in text_bytes(batch.column(1))])
+        found = weights.documents(text_bytes(batch.column(1)))
         return {id_col: batch.column(0), "score": found, "predicted": (found >= threshold).astype(np.int32)}
 
     return arrow_pass(docs, [id_col, text_col], schema, work)
@@ -198,12 +222,12 @@ def offending_sentences(docs: DataFrame, model: Model, at_least: float = 0.3, id
         number: list[int] = []
         p: list[float] = []
         said: list[str] = []
-        for row, text in enumerate(text_bytes(batch.column(1))):
-            scores = sentence_scores(text, weights)
+        for row, tokens in enumerate(weights.meet(text_bytes(batch.column(1)))):
+            scores = weights.sentences(tokens)
             if not (scores >= at_least).any():
                 continue
             sentences: list[list[bytes]] = [[]]
-            for token in tokens_of(text):
+            for token in tokens:
                 sentences[-1].append(token)
                 if ends_sentence(token):
                     sentences.append([])
@@ -223,6 +247,6 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_co
     name = "_arbora_toxic"
 
     def work(texts: list[bytes]) -> dict:
-        return {name: np.array([model.combined(sentence_scores(x, weights)) for x in texts], float)}
+        return {name: weights.documents(texts)}
 
     return with_columns_pass(docs, text_col, T.StructType([T.StructField(name, T.DoubleType())]), work).where(F.col(name) < threshold).drop(name)
