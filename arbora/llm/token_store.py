@@ -16,6 +16,7 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ CHUNK, RANK = 8, 512
 #: Tokens of a file image aimed at; a longer document has an image of its own.
 IMAGE_TOKENS = 1 << 20
 #: Text pieces whose ids a worker remembers; others are encoded again.
-REMEMBERED = 500_000
+REMEMBERED = 1_200_000
 END_ID = 0
 
 
@@ -77,8 +78,14 @@ class Image:
         return out
 
     def all(self) -> np.ndarray:
-        """All ids."""
-        return self.slice(0, len(self))
+        """All ids, level by level from the last."""
+        upper = np.zeros(0, np.uint32)
+        for level in reversed(self.levels):
+            out = level.chunks.astype(np.uint32)
+            if len(upper):
+                out[np.unpackbits(level.bitmap, count=len(out), bitorder="little").view(bool)] |= upper << np.uint32(CHUNK)
+            upper = out
+        return upper
 
     def slice(self, lo: int, hi: int) -> np.ndarray:
         """Ids lo to hi - 1, by one rank a level at each end."""
@@ -172,11 +179,12 @@ class Pieces(dict):
         before = json.loads(self.tokenizer.to_str()).get("pre_tokenizer") or {}
         self.plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and self.tokenizer.normalizer is None
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        self.code = "H" if self.kind == "<u2" else "I"
         self.letters = bytes_as_letters()
         self.model = self.tokenizer.model
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         if self.odd.search(piece):
@@ -184,7 +192,7 @@ class Pieces(dict):
         if found := self.word.match(piece):
             space, word, mark = found.groups()
             ids = self.of(space + word)
-            out = np.array(ids + self.of(mark) if mark else ids, self.kind).tobytes()
+            out = array(self.code, ids + self.of(mark) if mark else ids).tobytes()
         else:
             out = self.whole(piece)
         if len(self) < REMEMBERED:
