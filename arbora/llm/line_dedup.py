@@ -137,9 +137,9 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated later lines deleted from their texts; a document may become empty, and stays."""
-    gone = repeated_lines(docs, min_words, id_col, text_col).where(F.size("removed") > 0).select(F.col("id").alias("_i"), F.col("th").alias("_t"), "removed").dropDuplicates(["_i", "_t"])
-    kept = F.filter(F.transform(F.split(text_col, "\n", -1), lambda x, k: F.when(~F.array_contains("removed", k), x)), lambda x: x.isNotNull())
-    th = F.xxhash64(F.coalesce(text_col, F.lit("")))
-    met = docs.withColumn("_arbora_th", th).join(gone, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_arbora_th") == F.col("_t")), "left")
-    cut = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    found = repeated_lines(docs, min_words, id_col, text_col).where(F.size("removed") > 0)
+    gone = found.select(F.col("id").alias("_arbora_i"), F.col("th").alias("_arbora_t"), F.col("removed").alias("_arbora_gone")).dropDuplicates(["_arbora_i", "_arbora_t"])
+    kept = F.filter(F.transform(F.split(text_col, "\n", -1), lambda x, k: F.when(~F.array_contains("_arbora_gone", k), x)), lambda x: x.isNotNull())
+    met = docs.withColumn("_arbora_th", F.xxhash64(F.coalesce(text_col, F.lit("")))).join(gone, F.col(id_col).eqNullSafe(F.col("_arbora_i")) & (F.col("_arbora_th") == F.col("_arbora_t")), "left")
+    cut = F.when(F.col("_arbora_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return met.select(*(cut.alias(c) if c == text_col else F.col(c) for c in docs.columns))

@@ -105,8 +105,8 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
     """The mix itself: docs' columns, a row for each copy. Rows with the same id, source and text are interchangeable."""
     sized = written(sizes(docs, id_col, text_col, source_col), "mix-sizes")
     found = copies(sized, targets(sized, weights, most), seed)
-    many = found.select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("th").alias("_th"), _crossed(F.lit(0).cast("long"), F.col("n")).alias("_copies")).where("_copies > 0")
+    many = found.select(F.col("id").alias("_arbora_i"), F.col("source").alias("_arbora_s"), F.col("th").alias("_arbora_t"), _crossed(F.lit(0).cast("long"), F.col("n")).alias("_arbora_copies")).where("_arbora_copies > 0")
     keyed = docs.withColumn("_arbora_th", F.xxhash64(F.coalesce(text_col, F.lit("")))).withColumn("_arbora_source", F.col(source_col).cast("string"))
     once = keyed.dropDuplicates([id_col, "_arbora_th", "_arbora_source"])
-    met = once.join(many, F.col(id_col).eqNullSafe(F.col("_id")) & F.col("_arbora_source").eqNullSafe(F.col("_source")) & (F.col("_arbora_th") == F.col("_th")))
-    return met.withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).select(*docs.columns)
+    met = once.join(many, F.col(id_col).eqNullSafe(F.col("_arbora_i")) & F.col("_arbora_source").eqNullSafe(F.col("_arbora_s")) & (F.col("_arbora_th") == F.col("_arbora_t")))
+    return met.withColumn("_arbora_copy", F.explode(F.expr("sequence(1, _arbora_copies)"))).select(*docs.columns)

@@ -245,7 +245,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """docs with one row of each near-duplicate group: the smallest id, then the smallest text hash."""
     groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
     least = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("w"))
-    winners = least.select(F.col("w.id").alias("_id"), F.col("w.th").alias("_th"))
+    winners = least.select(F.col("w.id").alias("_arbora_i"), F.col("w.th").alias("_arbora_t"))
     named = docs.withColumn("_arbora_th", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    met = named.join(winners, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_arbora_th") == F.col("_th")), "left_semi")
+    met = named.join(winners, F.col(id_col).eqNullSafe(F.col("_arbora_i")) & (F.col("_arbora_th") == F.col("_arbora_t")), "left_semi")
     return met.dropDuplicates([id_col, "_arbora_th"]).drop("_arbora_th")
