@@ -30,6 +30,8 @@ MAGIC, BREAK = b"WARC/1.", b"\r\n\r\n"
 FILE_BYTES, BLOCK = 32 << 20, 1 << 20
 #: Bytes that a record's header may have; a longer one is an error.
 HEADER = 1 << 20
+#: Pages whose heads payloads on their way are compressed against.
+SHARED_PAGES = 128
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -70,17 +72,22 @@ def write_archives(pages: DataFrame, path: str, at_least: int = 0, file_bytes: i
     first = slim.where(F.col("size") >= at_least).groupBy("digest").agg(F.min("page_id").alias("first"))
     told = slim.distinct().join(first, "digest", "left").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first")
 
+    common = b"".join(bytes(r[0]) for r in known.select(F.substring("payload", 1, 4096)).limit(SHARED_PAGES).collect())  # at most 512 KB
+
+    def shared() -> dict:
+        return {"dict_data": zstandard.ZstdCompressionDict(common, dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if common else {}
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=3, **shared()).compress
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([squeeze(x) for x in text_bytes(b.column(2))], pa.binary()), b.column(3), b.column(4)], names=["page_id", "url", "packed", "digest", "size"])
 
-    # payloads are shuffled once, compressed
+    # payloads are shuffled once, compressed against the heads of some pages
     packed = known.mapInArrow(pack, "page_id long, url string, packed binary, digest string, size long")
     met = packed.join(told, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d"))).select("page_id", "url", "packed", "digest", "size", "first")
 
     def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
+        unpack = zstandard.ZstdDecompressor(**shared()).decompress
         for b in batches:
             page, url, packed_, digest, size, first_ = (b.column(i).to_pylist() for i in range(6))
             made = []
