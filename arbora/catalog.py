@@ -1,3 +1,735 @@
-def entry(spark): return spark.range(1)
-def queries(): return {}
-def oracle_sql(): return {}
+"""Registered queries of the engine's own operators, each with DuckDB SQL where SQL can say it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import arrays, noise, text
+from .operators import audit, decide, hierarchy, joins, metrics, models, quality, split, stats, variants
+from .plans import fixtures as fx
+from .plans import jobs
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def entry(spark: SparkSession) -> DataFrame:
+    return hierarchical_metrics(spark, "/root/testdata/sf0.001")
+
+
+def _r(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles rounded, as sums of doubles depend on their order."""
+    return df.select(*(F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+# ---------------------------------------------------------------- SQL pieces
+
+_CTE = {
+    "assignments": """assignments AS (SELECT DISTINCT l_orderkey AS pid, '/' || n_regionkey || '/' || n_nationkey || '/' || lower(p_type) AS code
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey)""",
+    "labels": "labels AS (SELECT code AS label, count(*) AS support FROM assignments GROUP BY code HAVING count(*) >= (SELECT count(*) // 50 FROM orders))",
+    "nodes": """ids AS (SELECT DISTINCT unnest(['/' || p[2], '/' || p[2] || '/' || p[3], '/' || p[2] || '/' || p[3] || '/' || p[4]]) AS id FROM (SELECT string_split(label, '/') AS p FROM labels)),
+nodes AS (SELECT i.id, string_split(i.id, '/')[-1] AS name, CASE WHEN len(string_split(i.id, '/')) > 2 THEN array_to_string(string_split(i.id, '/')[1:-2], '/') END AS parent,
+  len(string_split(i.id, '/')) - 1 AS depth, l.support FROM ids i LEFT JOIN labels l ON l.label = i.id)""",
+    "closure": """closure AS (WITH RECURSIVE walk(label, ancestor, distance) AS (SELECT id, id, 0 FROM nodes
+  UNION ALL SELECT w.label, n.parent, w.distance + 1 FROM walk w JOIN nodes n ON n.id = w.ancestor WHERE n.parent IS NOT NULL) SELECT * FROM walk)""",
+    "gold": "gold AS (SELECT pid AS rid, code AS label FROM assignments WHERE code IN (SELECT label FROM labels))",
+    "cells": """raw AS (SELECT member, o_orderkey AS rid, l.label, CASE WHEN g.rid IS NULL THEN 0 ELSE 1 END AS y,
+  ('0x' || substr(md5(o_orderkey || ':' || l.label || ':' || member), 1, 6))::BIGINT / 16777216.0::DOUBLE AS h
+  FROM orders CROSS JOIN labels l CROSS JOIN (SELECT unnest(['alpha', 'beta', 'gamma', 'delta']) AS member) LEFT JOIN gold g ON g.rid = o_orderkey AND g.label = l.label),
+every AS (SELECT member, rid, label, y, CASE WHEN y = 1 THEN 0.3::DOUBLE + 0.7::DOUBLE * h ELSE 0.75::DOUBLE * h END AS s FROM raw),
+allcells AS (SELECT *, CASE WHEN s >= 0.7 THEN 1 ELSE 0 END AS p FROM every),
+cells AS (SELECT * FROM allcells WHERE member = 'alpha')""",
+    "hier": """hier AS (SELECT member, rid, ancestor AS label, max(y) AS y, max(p) AS p FROM allcells JOIN closure USING (label) WHERE y = 1 OR p = 1 GROUP BY ALL)""",
+    "ranked": "ranked AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY s DESC, label) AS k FROM cells)",
+    "sel": "sel AS (SELECT member, rid, label, y FROM allcells WHERE p = 1)",
+    "pairs": "pairs AS (SELECT u.conv_id, u.turn, u.text AS a, r.text AS b FROM conversations u JOIN conversations r ON r.conv_id = u.conv_id AND r.turn = u.turn + 1 AND r.role = 'assistant' WHERE u.role = 'user')",
+    "docs": """docs AS (SELECT doc_id, text, lang, CASE WHEN h < 70 THEN 'train' WHEN h < 85 THEN 'validation' ELSE 'test' END AS split
+  FROM (SELECT *, ('0x' || substr(sha256(doc_id::VARCHAR), 1, 8))::BIGINT % 100 AS h FROM documents))""",
+    "tf": r"""toks AS (SELECT doc_id, regexp_extract_all(lower(replace(text, 'İ', 'i')), '[\p{L}\p{N}_]{2,}') AS t FROM documents),
+tf AS (SELECT doc_id AS rid, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM toks) GROUP BY ALL)""",
+    "vocab": "vocab AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term HAVING count(*) >= 5 ORDER BY total DESC, term LIMIT 2000)",
+    "tfidf": """raww AS (SELECT rid, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1.0::DOUBLE + df)) + 1) AS w FROM tf JOIN vocab USING (term)),
+wts AS (SELECT rid, term, w / sqrt(sum(w * w) OVER (PARTITION BY rid)) AS w FROM raww)""",
+    "vecs": """unit AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda z: z::DOUBLE * z::DOUBLE)))) AS v FROM embeddings),
+sims AS (SELECT q.vec_id AS query, d.vec_id AS doc, list_dot_product(q.v, d.v) AS sim FROM unit q JOIN unit d ON d.vec_id % 20 <> 0 WHERE q.vec_id % 20 = 0),
+dense AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, doc) AS rank FROM sims WHERE sim > 0 QUALIFY rank <= 50)""",
+}
+
+
+def _sql(names: str, body: str) -> str:
+    """body after the named pieces; one that begins with a comma adds pieces of its own."""
+    return "WITH " + ",\n".join(_CTE[n] for n in names.split()) + ("" if body.startswith(",") else "\n") + body
+
+
+_TREE = "assignments labels nodes closure"
+_CELLS = "assignments labels gold cells"
+_F1 = "coalesce(2.0 * sum(y * p) / nullif(sum(y) + sum(p), 0), 0)"
+
+
+# ---------------------------------------------------------------- hierarchy
+
+
+@query(_sql("assignments labels nodes", """SELECT n.id, n.name, n.parent, n.depth::INT AS depth, n.parent IS NULL AS is_root, NOT EXISTS (SELECT 1 FROM nodes c WHERE c.parent = n.id) AS is_leaf, n.support IS NOT NULL AS is_direct_supported, n.support FROM nodes n"""))
+def taxonomy_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.nodes(spark, sf_dir)
+
+
+@query(_sql(_TREE, "SELECT label, ancestor, distance FROM closure"))
+def taxonomy_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.closed(spark, sf_dir)
+
+
+@query(_sql("assignments labels nodes", "SELECT 'missing_parent' AS problem, id AS node FROM nodes WHERE parent = '/0'"))
+def taxonomy_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree that lost a root."""
+    return hierarchy.validate_tree(fx.nodes(spark, sf_dir).where("id <> '/0'"))
+
+
+@query(_sql("assignments labels nodes", "SELECT lower(unnest(list_distinct([id, name]))) AS alias, count(*) AS nodes FROM nodes GROUP BY alias"))
+def label_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = fx.nodes(spark, sf_dir)
+    return nodes.select(F.explode(F.array_distinct(F.array("id", "name"))).alias("alias")).groupBy(F.lower("alias").alias("alias")).agg(F.count("*").alias("nodes"))
+
+
+@query(_sql(_TREE, "SELECT label, string_agg(ancestor, ' > ' ORDER BY distance DESC) AS path FROM closure GROUP BY label"))
+def label_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.paths(fx.closed(spark, sf_dir)).select("label", F.array_join("path", " > ").alias("path"))
+
+
+@query(_sql(_TREE, "SELECT label, max(distance) + 1 AS depth, arg_max(ancestor, distance) AS root FROM closure GROUP BY label"))
+def node_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy.shapes(fx.closed(spark, sf_dir))
+
+
+@query(_sql("assignments labels nodes gold", "SELECT g.label AS child, n.parent AS missing_parent, count(*) AS n_rows FROM gold g JOIN nodes n ON n.id = g.label WHERE n.parent IS NOT NULL GROUP BY ALL"))
+def hierarchy_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direct labels alone break the tree at each of their parents."""
+    return hierarchy.violations(fx.gold(spark, sf_dir), fx.nodes(spark, sf_dir)).groupBy("child", "missing_parent").agg(F.count("*").alias("n_rows"))
+
+
+_COVER = """, halves AS (SELECT o_orderkey AS pid, CASE WHEN ('0x' || substr(sha256(o_orderkey::VARCHAR), 1, 8))::BIGINT % 2 = 1 THEN 'b' ELSE 'a' END AS split FROM orders),
+own AS (SELECT a.pid, a.code, l.label IS NULL AS dropped, string_split(a.code, '/') AS p FROM assignments a LEFT JOIN labels l ON l.label = a.code),
+pre AS (SELECT DISTINCT pid, unnest(['/' || p[2], '/' || p[2] || '/' || p[3], code]) AS node FROM own),
+stored AS (SELECT DISTINCT rid AS pid, ancestor AS node FROM gold JOIN closure USING (label)),
+gap AS (SELECT p.pid, count(*) AS paths, count(n.id) AS nodes, count(CASE WHEN n.id IS NOT NULL AND n.parent IS NULL THEN 1 END) AS roots FROM pre p ANTI JOIN stored s USING (pid, node) LEFT JOIN nodes n ON n.id = p.node GROUP BY p.pid),
+lost AS (SELECT pid, count(*) AS lost FROM own WHERE dropped GROUP BY pid),
+per AS (SELECT h.split, coalesce(lost, 0) AS lost, coalesce(nodes, 0) AS nodes, coalesce(roots, 0) AS roots, coalesce(paths, 0) AS paths FROM halves h LEFT JOIN lost USING (pid) LEFT JOIN gap USING (pid))
+SELECT coalesce(split, 'all') AS split, count(*) AS projects, count(CASE WHEN lost > 0 THEN 1 END) AS projects_losing_codes, sum(lost)::BIGINT AS codes_lost, 0::BIGINT AS projects_rollup_would_add_label,
+  count(CASE WHEN nodes > 0 THEN 1 END) AS closures_missing_nodes, sum(nodes)::BIGINT AS nodes_missing, count(CASE WHEN roots > 0 THEN 1 END) AS projects_missing_root, sum(roots)::BIGINT AS roots_missing,
+  count(CASE WHEN paths > 0 THEN 1 END) AS closures_missing_unpruned_paths, sum(paths)::BIGINT AS unpruned_paths_missing FROM per GROUP BY ROLLUP (split)"""
+
+
+@query(_sql("assignments labels nodes closure gold", _COVER))
+def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roll-up adds nothing here, as supported codes are all leaves."""
+    projects = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pid"), F.when(text.in_second_half(F.col("o_orderkey").cast("string")), "b").otherwise("a").alias("split"))
+    gold, closed = fx.gold(spark, sf_dir), fx.closed(spark, sf_dir)
+    stored = hierarchy.close_labels(gold, closed).select(F.col("row").alias("pid"), F.col("node").alias("label"))
+    return hierarchy.coverage_counts(projects, fx.assignments(spark, sf_dir), fx.nodes(spark, sf_dir), stored, gold.withColumnRenamed("row", "pid"))
+
+
+# ---------------------------------------------------------------- metrics
+
+
+@query(_sql(_CELLS, """, per AS (SELECT member, label, sum(y * p) AS tp, sum(p) AS np, sum(y) AS ny FROM allcells GROUP BY ALL)
+SELECT member, round(coalesce(sum(tp) / nullif(sum(np), 0), 0), 6) AS micro_precision, round(coalesce(sum(tp) / nullif(sum(ny), 0), 0), 6) AS micro_recall, round(coalesce(2 * sum(tp) / nullif(sum(np) + sum(ny), 0), 0), 6) AS micro_f1,
+  round(avg(coalesce(tp / nullif(np, 0), 0)), 6) AS macro_precision, round(avg(coalesce(tp / nullif(ny, 0), 0)), 6) AS macro_recall, round(avg(coalesce(2 * tp / nullif(np + ny, 0), 0)), 6) AS macro_f1 FROM per GROUP BY member"""))
+def flat_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = fx.cells(spark, sf_dir, fx.MEMBERS)
+    return _r(metrics.flat_metrics(cells.where("y = 1 or p = 1"), fx.labels(spark, sf_dir), ["member"]))
+
+
+@query(_sql(_CELLS, """SELECT member, round(avg(coalesce(tp::DOUBLE / nullif(ny + np - tp, 0), 0)), 6) AS jaccard, round(avg(coalesce(2.0 * tp / nullif(ny + np, 0), 0)), 6) AS document_f1, round(avg(np), 6) AS mean_predicted_labels, round(avg(ny), 6) AS mean_true_labels,
+  round(avg(CASE WHEN tp = np AND tp = ny THEN 1.0 ELSE 0 END), 6) AS subset_accuracy, round(avg(CASE WHEN np = 0 THEN 1.0 ELSE 0 END), 6) AS empty_rate
+FROM (SELECT member, rid, sum(y * p) AS tp, sum(y) AS ny, sum(p) AS np FROM allcells GROUP BY ALL) GROUP BY member"""))
+def document_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = fx.cells(spark, sf_dir, fx.MEMBERS)
+    return _r(metrics.document_metrics(cells.where("y = 1 or p = 1"), fx.rows(spark, sf_dir), ["member"]))
+
+
+@query(_sql("assignments labels nodes closure gold cells hier", f"SELECT member, round({_F1}, 6) AS hmicro_f1, round(coalesce(sum(y * p) / nullif(sum(p), 0), 0), 6) AS hmicro_precision, round(coalesce(sum(y * p) / nullif(sum(y), 0), 0), 6) AS hmicro_recall FROM hier GROUP BY member"))
+def hierarchical_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.counts(jobs.hierarchical_cells(fx.cells(spark, sf_dir, fx.MEMBERS), fx.closed(spark, sf_dir)), ["member"])
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return _r(found.select("member", arrays.f1(tp, fp, fn).alias("hmicro_f1"), arrays.ratio(tp, tp + fp).alias("hmicro_precision"), arrays.ratio(tp, tp + fn).alias("hmicro_recall")))
+
+
+_DIST = """, n AS (SELECT count(*) AS n FROM orders),
+sizes AS (SELECT o_orderkey, count(g.label) AS k FROM orders LEFT JOIN gold g ON g.rid = o_orderkey GROUP BY o_orderkey),
+per AS (SELECT l.label, count(g.rid) AS c FROM labels l LEFT JOIN gold g USING (label) GROUP BY l.label),
+pr AS (SELECT *, c / (SELECT n FROM n)::DOUBLE AS v, row_number() OVER (ORDER BY c DESC, label) AS k, count(*) OVER () AS l FROM per)
+SELECT (SELECT n FROM n) AS n_records, count(*) AS n_labels, round((SELECT avg(k) FROM sizes), 6) AS mean_labels_per_record, round((SELECT quantile_cont(k, 0.5) FROM sizes), 6) AS median_labels_per_record,
+  round(min(v), 6) AS min_prevalence, round(quantile_cont(v, 0.5), 6) AS median_prevalence, round(max(v), 6) AS max_prevalence, count(CASE WHEN v < 0.01 THEN 1 END) AS rare_labels, round(count(CASE WHEN v < 0.01 THEN 1 END) / count(*), 6) AS rare_label_share,
+  round(sum(CASE WHEN k <= ceil(0.1 * l) THEN c ELSE 0 END) / sum(c), 6) AS top_decile_positive_share, round(max(v) / min(v), 6) AS prevalence_ratio, count(CASE WHEN c = 0 THEN 1 END) AS zero_positive_labels, round(1 - avg(v), 6) AS all_negative_accuracy FROM pr"""
+
+
+@query(_sql("assignments labels gold", _DIST))
+def label_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(metrics.label_distribution(fx.gold(spark, sf_dir), fx.rows(spark, sf_dir), fx.labels(spark, sf_dir)))
+
+
+@query(_sql("assignments labels gold cells ranked", """, per AS (SELECT rid, count(*) AS l, sum(y) AS n, sum(CASE WHEN k <= 1 THEN y END) AS h1, sum(CASE WHEN k <= 3 THEN y END) AS h3, sum(CASE WHEN k <= 5 THEN y END) AS h5, sum(CASE WHEN k <= 5 THEN y / log2(k + 1) END) AS dcg FROM ranked GROUP BY rid),
+rp AS (SELECT r.rid, count(*) AS hit FROM ranked r JOIN per p USING (rid) WHERE r.y = 1 AND r.k <= p.n GROUP BY r.rid),
+ideal AS (SELECT p.rid, sum(1 / log2(i + 1)) AS ideal FROM per p, range(1, 6) t(i) WHERE i <= least(p.n, p.l) GROUP BY p.rid)
+SELECT round(avg(h1 / least(1, l)), 6) AS p_at_1, round(avg(h3 / least(3, l)), 6) AS p_at_3, round(avg(h5 / least(5, l)), 6) AS p_at_5, round(avg(coalesce(hit, 0) / nullif(n, 0)::DOUBLE) * count(nullif(n, 0)) / count(*), 6) AS r_precision,
+  round(sum(coalesce(dcg / ideal, 0)) / count(*), 6) AS ndcg_at_5 FROM per LEFT JOIN rp USING (rid) LEFT JOIN ideal USING (rid)"""))
+def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(metrics.ranking_metrics(fx.cells(spark, sf_dir)))
+
+
+_BIN = "least(floor(s * 10)::INT, 9)"
+
+
+@query(_sql("assignments labels gold cells ranked", f""", pooled AS (SELECT {_BIN} AS bin, count(*) AS n, sum(y) AS y, sum(s) AS s FROM cells GROUP BY bin),
+first AS (SELECT {_BIN} AS bin, count(*) AS n, sum(y) AS y, sum(s) AS s FROM ranked WHERE k = 1 GROUP BY bin)
+SELECT round((SELECT sum(abs(y - s)) / sum(n) FROM pooled), 6) AS ece, round((SELECT avg((s - y) ** 2) FROM cells), 6) AS brier, round((SELECT sum(abs(y - s)) / sum(n) FROM first), 6) AS top1_ece, round((SELECT sum(y) / sum(n) FROM first), 6) AS top1_accuracy"""))
+def calibration_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(metrics.calibration_metrics(fx.cells(spark, sf_dir)))
+
+
+@query(_sql(_CELLS, f"""SELECT b.bin::INT AS bin, round(b.bin / 10.0, 6) AS low, round((b.bin + 1) / 10.0, 6) AS high, coalesce(n, 0) AS n, round(confidence, 6) AS confidence, round(accuracy, 6) AS accuracy FROM (SELECT unnest(range(10)) AS bin) b
+LEFT JOIN (SELECT {_BIN} AS bin, count(*) AS n, avg(s) AS confidence, avg(y) AS accuracy FROM cells GROUP BY 1) c USING (bin)"""))
+def reliability_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(metrics.reliability_table(fx.cells(spark, sf_dir)))
+
+
+@query(_sql("assignments labels gold cells ranked", f"SELECT {_BIN} AS bin, round({_BIN} / 10.0, 6) AS low, round(({_BIN} + 1) / 10.0, 6) AS high, count(*) AS n, round(avg(s), 6) AS confidence, round(avg(y), 6) AS accuracy FROM ranked WHERE k = 1 GROUP BY ALL"))
+def top_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(metrics.top_reliability(fx.cells(spark, sf_dir)))
+
+
+@query(_sql(_CELLS, """, near AS (SELECT rid, label, y, round(s, 4) AS s FROM cells), steps AS (SELECT s, sum(y) AS y, count(*) AS n FROM near GROUP BY s),
+run AS (SELECT y, sum(y) OVER (ORDER BY s DESC) AS tp, sum(n) OVER (ORDER BY s DESC) AS a FROM steps),
+rsteps AS (SELECT rid, s, sum(y) AS y, count(*) AS n FROM near GROUP BY ALL), rrun AS (SELECT rid, y, sum(y) OVER w AS tp, sum(n) OVER w AS a FROM rsteps WINDOW w AS (PARTITION BY rid ORDER BY s DESC)),
+rap AS (SELECT rid, sum(y * tp / a) / sum(y) AS ap FROM rrun GROUP BY rid HAVING sum(y) > 0)
+SELECT round((SELECT sum(y * tp / a) / sum(y) FROM run), 6) AS micro_ap, round((SELECT avg(ap) FROM rap), 6) AS samples_ap"""))
+def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(metrics.average_precision(fx.cells(spark, sf_dir)))
+
+
+@query(_sql(_CELLS, """, sc AS (SELECT member, rid, round(1 - max(s), 4) AS s, bool_or(y = 1 AND label LIKE '/0/%') AS is_ood FROM allcells GROUP BY ALL),
+st AS (SELECT member, s, count(CASE WHEN is_ood THEN 1 END) AS o, count(CASE WHEN NOT is_ood THEN 1 END) AS i FROM sc GROUP BY ALL),
+run AS (SELECT *, sum(o) OVER d AS co, sum(i) OVER d AS ci, sum(o) OVER (PARTITION BY member) AS tt, sum(i) OVER (PARTITION BY member) AS ti FROM st WINDOW d AS (PARTITION BY member ORDER BY s DESC))
+SELECT member, round(sum(o * (ti - ci + i / 2)) / (max(tt) * max(ti)), 6) AS auroc, round(min(CASE WHEN co / tt >= 0.95 THEN ci / ti END), 6) AS fpr_at_95_tpr FROM run GROUP BY member"""))
+def ood_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One root held out: orders with one of its labels are the outside."""
+    cells = fx.cells(spark, sf_dir, fx.MEMBERS)
+    per = cells.groupBy("member", "row").agg(F.round(1 - F.max("s"), 4).alias("s"), F.bool_or((F.col("y") == 1) & F.col("label").startswith("/0/")).alias("is_ood"))
+    return _r(metrics.ood_metrics(per, ["member"]))
+
+
+@query(_sql("assignments labels nodes closure gold cells hier", """, r AS (SELECT rid, label, y, p FROM hier WHERE member = 'alpha' AND label IN (SELECT id FROM nodes WHERE parent IS NULL)),
+g AS (SELECT rid, label AS gold_root FROM r WHERE y = 1), sup AS (SELECT gold_root, count(*) AS support FROM g GROUP BY 1),
+hits AS (SELECT label AS gold_root, label AS root FROM r WHERE y = 1 AND p = 1 UNION ALL SELECT g.gold_root, r.label FROM g JOIN r ON r.rid = g.rid AND r.p = 1 AND r.y = 0), c AS (SELECT gold_root, root, count(*) AS c FROM hits GROUP BY ALL)
+SELECT a.id AS gold_root, b.id AS root, round(coalesce(c / support, 0), 6) AS rate FROM nodes a CROSS JOIN nodes b LEFT JOIN sup ON sup.gold_root = a.id LEFT JOIN c ON c.gold_root = a.id AND c.root = b.id WHERE a.parent IS NULL AND b.parent IS NULL"""))
+def root_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = fx.nodes(spark, sf_dir).where("is_root").select(F.col("id").alias("label"))
+    cells = jobs.hierarchical_cells(fx.cells(spark, sf_dir), fx.closed(spark, sf_dir)).join(F.broadcast(roots), "label")
+    return _r(metrics.root_confusion(cells.where("y = 1"), cells.where("p = 1"), roots))
+
+
+@query(_sql("assignments labels nodes closure gold cells hier", f"SELECT member, n.depth::INT AS depth, round({_F1}, 6) AS micro_f1 FROM hier h JOIN nodes n ON n.id = h.label GROUP BY ALL"))
+def depth_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    depths = fx.nodes(spark, sf_dir).select(F.col("id").alias("label"), "depth")
+    return _r(metrics.depth_f1(jobs.hierarchical_cells(fx.cells(spark, sf_dir, fx.MEMBERS), fx.closed(spark, sf_dir)), depths, fx.rows(spark, sf_dir), ["member"]))
+
+
+@query(_sql(_CELLS, f"SELECT CASE WHEN support < 70 THEN '<70' WHEN support < 200 THEN '70-199' ELSE '>=200' END AS bucket, round({_F1}, 6) AS micro_f1 FROM cells JOIN labels USING (label) GROUP BY bucket"))
+def f1_by_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    support = fx.gold(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n")).select("label", metrics.frequency_bucket(F.col("n")).alias("bucket"))
+    return _r(metrics.f1_by_group(fx.cells(spark, sf_dir).where("y = 1 or p = 1"), support, "label", "bucket"))
+
+
+@query(_sql(_CELLS, f"SELECT CASE WHEN n >= 4 THEN '4+' ELSE n::VARCHAR END AS bucket, round({_F1}, 6) AS micro_f1 FROM cells JOIN (SELECT rid, sum(y) AS n FROM cells GROUP BY rid) USING (rid) GROUP BY bucket"))
+def f1_by_gold_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = fx.cells(spark, sf_dir)
+    sizes = cells.groupBy("row").agg(F.sum("y").alias("n")).select("row", metrics.gold_count_bucket(F.col("n")).alias("bucket"))
+    return _r(metrics.f1_by_group(cells.where("y = 1 or p = 1"), sizes, "row", "bucket"))
+
+
+@query(_sql(_CELLS, """, per AS (SELECT member, label, sum(y * (1 - p)) AS fn, sum(p * (1 - y)) AS fp, sum(y) AS ny, sum(p) AS np FROM allcells GROUP BY ALL),
+e AS (SELECT member, 'missed' AS kind, label, fn AS errors, ny AS total FROM per UNION ALL SELECT member, 'false', label, fp, np FROM per)
+SELECT member, kind, label, errors::BIGINT AS errors, total::BIGINT AS total, row_number() OVER (PARTITION BY member, kind ORDER BY errors DESC, label)::INT AS k FROM e WHERE errors > 0 QUALIFY k <= 10"""))
+def top_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.top_errors(fx.cells(spark, sf_dir, fx.MEMBERS).where("y = 1 or p = 1"), ["member"])
+
+
+# ---------------------------------------------------------------- decisions
+
+
+def _tune_sql(grid: str, tie: str) -> str:
+    return _sql(_CELLS, f""", grid AS (SELECT unnest({grid}) AS i), t AS (SELECT i, i / {'50' if '50' in grid else '100'}.0::DOUBLE AS t FROM grid),
+k AS (SELECT member, {'least(49, floor(s * 50 + 1e-12))' if '50' in grid else 'floor(s * 100 + 1e-12)'}::INT AS b, sum(y) AS y, count(*) AS n FROM allcells GROUP BY ALL),
+sc AS (SELECT member, t, 2 * sum(k.y) FILTER (k.b >= i) / (coalesce(sum(k.n) FILTER (k.b >= i), 0) + sum(k.y)) AS f FROM k CROSS JOIN t GROUP BY ALL)
+SELECT member, t AS threshold, round(f, 6) AS micro_f1 FROM sc QUALIFY row_number() OVER (PARTITION BY member ORDER BY coalesce(f, 0) DESC, t {tie}) = 1""")
+
+
+@query(_tune_sql("range(1, 50)", "ASC"))
+def tune_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(decide.tune_threshold(fx.cells(spark, sf_dir, fx.MEMBERS), ["member"]))
+
+
+@query(_tune_sql("range(0, 101)", "DESC"))
+def tune_threshold_dense_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(decide.tune_threshold(fx.cells(spark, sf_dir, fx.MEMBERS), ["member"], decide.DENSE_GRID, lowest=False))
+
+
+_VOTES = "v AS (SELECT rid, label, count(*) AS votes, max(y) AS y FROM sel GROUP BY ALL)"
+
+
+@query(_sql("assignments labels gold cells sel", f""", {_VOTES}, k AS (SELECT unnest([1, 2, 3, 4]) AS k), f AS (SELECT k, 2.0 * sum(y) FILTER (votes >= k) / (count(*) FILTER (votes >= k) + (SELECT count(*) FROM gold)) AS f FROM v CROSS JOIN k GROUP BY k)
+SELECT k::BIGINT AS k, round(f, 6) AS micro_f1 FROM f ORDER BY coalesce(f, 0) DESC, k DESC LIMIT 1"""))
+def tune_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(decide.tune_k(decide.votes(fx.selections(spark, sf_dir)), fx.gold(spark, sf_dir), len(fx.MEMBERS)))
+
+
+@query(_sql("assignments labels gold cells sel", f", {_VOTES} SELECT votes, count(*) AS n_cells, sum(y)::BIGINT AS n_right FROM v GROUP BY votes"))
+def hard_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    voted = decide.votes(fx.selections(spark, sf_dir)).join(fx.gold(spark, sf_dir).withColumn("y", F.lit(1)), ["row", "label"], "left")
+    return voted.groupBy("votes").agg(F.count("*").alias("n_cells"), F.sum(F.coalesce("y", F.lit(0))).alias("n_right"))
+
+
+@query(_sql("assignments labels nodes closure gold cells hier", "SELECT votes, count(*) AS n_cells, sum(y)::BIGINT AS n_right FROM (SELECT rid, label, count(*) AS votes, max(y) AS y FROM hier WHERE p = 1 GROUP BY ALL) GROUP BY votes"))
+def closed_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    closed = fx.closed(spark, sf_dir)
+    up = hierarchy.close_labels(fx.gold(spark, sf_dir), closed).select("row", F.col("node").alias("label"), F.lit(1).alias("y"))
+    voted = decide.closed_votes(fx.selections(spark, sf_dir), closed).join(up, ["row", "label"], "left")
+    return voted.groupBy("votes").agg(F.count("*").alias("n_cells"), F.sum(F.coalesce("y", F.lit(0))).alias("n_right"))
+
+
+@query(_sql(_CELLS, f"SELECT round(avg(s), 6) AS mean_score, count(CASE WHEN s >= 0.5 THEN 1 END) AS n_selected, round(coalesce(2.0 * sum(CASE WHEN s >= 0.5 THEN y END) / (count(CASE WHEN s >= 0.5 THEN 1 END) + sum(y)), 0), 6) AS micro_f1 FROM (SELECT rid, label, max(y) AS y, round(avg(s), 9) AS s FROM allcells GROUP BY ALL)"))
+def soft_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = fx.cells(spark, sf_dir, fx.MEMBERS)
+    return _soft(decide.soft_vote(cells, len(fx.MEMBERS)), cells)
+
+
+@query(_sql(_CELLS, "SELECT round(avg(s), 6) AS mean_score, count(CASE WHEN s >= 0.5 THEN 1 END) AS n_selected, round(coalesce(2.0 * sum(CASE WHEN s >= 0.5 THEN y END) / (count(CASE WHEN s >= 0.5 THEN 1 END) + sum(y)), 0), 6) AS micro_f1 FROM (SELECT rid, label, max(y) AS y, round(sum(s * w) / 10, 9) AS s FROM allcells JOIN (VALUES ('alpha', 4), ('beta', 3), ('gamma', 2), ('delta', 1)) t(member, w) USING (member) GROUP BY ALL)"))
+def weighted_soft_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = fx.cells(spark, sf_dir, fx.MEMBERS)
+    weights = spark.createDataFrame([("alpha", 4.0), ("beta", 3.0), ("gamma", 2.0), ("delta", 1.0)], "member string, w double")
+    return _soft(decide.soft_vote(cells, len(fx.MEMBERS), weights), cells)
+
+
+def _soft(voted: DataFrame, cells: DataFrame) -> DataFrame:
+    gold = cells.where("member = 'alpha' and y = 1").select("row", "label", "y")
+    met = voted.withColumn("s", F.round("s", 9)).join(gold, ["row", "label"], "left").fillna(0, ["y"])
+    hit = F.col("s") >= 0.5
+    tp, n, g = F.sum(F.when(hit, F.col("y")).otherwise(0)), F.count_if(hit), F.sum("y")
+    return _r(met.agg(F.avg("s").alias("mean_score"), n.alias("n_selected"), arrays.ratio(2 * tp, n + g).alias("micro_f1")))
+
+
+@query(_sql("assignments labels gold cells sel", """, m AS (SELECT unnest(['alpha', 'beta', 'gamma', 'delta']) AS left_out), v AS (SELECT left_out, rid, label, max(y) AS y, count(*) FILTER (member <> left_out) AS votes FROM sel CROSS JOIN m GROUP BY ALL)
+SELECT left_out, round(coalesce(2.0 * sum(y) / (count(*) + (SELECT count(*) FROM gold)), 0), 6) AS micro_f1 FROM v WHERE votes >= 2 GROUP BY left_out"""))
+def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = spark.createDataFrame([(m,) for m in fx.MEMBERS], "member string")
+    return _r(decide.leave_one_out(fx.selections(spark, sf_dir), fx.gold(spark, sf_dir), members))
+
+
+@query(_sql(_CELLS, f"SELECT member, round({_F1}, 6) AS micro_f1, rank() OVER (ORDER BY round({_F1}, 6) DESC)::INT AS rank FROM allcells GROUP BY member"))
+def system_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _r(metrics.flat_metrics(fx.cells(spark, sf_dir, fx.MEMBERS).where("y = 1 or p = 1"), fx.labels(spark, sf_dir), ["member"]).select("member", "micro_f1"))
+    return decide.system_ranking(found, "micro_f1")
+
+
+@query(_sql(_CELLS, "SELECT member, round(quantile_cont(o, 0.95), 6) AS threshold FROM (SELECT member, rid, 1 - max(s) AS o FROM allcells GROUP BY ALL) GROUP BY member"))
+def ood_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(decide.ood_threshold(fx.cells(spark, sf_dir, fx.MEMBERS), ["member"]))
+
+
+@query(_sql("assignments labels nodes closure gold", "SELECT rid AS row, CASE WHEN bool_and(ancestor = '/0') THEN 'only' WHEN bool_or(ancestor = '/0') THEN 'mixed' ELSE 'none' END AS part FROM gold JOIN closure c USING (label) JOIN nodes n ON n.id = c.ancestor WHERE n.parent IS NULL GROUP BY rid"))
+def near_ood_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.near_ood_partition(fx.gold(spark, sf_dir), hierarchy.shapes(fx.closed(spark, sf_dir)), ["/0"])
+
+
+@query(_sql("assignments labels nodes closure gold cells hier", f"""SELECT member, round({_F1}, 6) AS hmicro_f1_stored, round({_F1}, 6) AS hmicro_f1_complete FROM hier GROUP BY member"""))
+def closure_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored and complete gold closures are the same here, as direct labels are all supported codes."""
+    closed, gold = fx.closed(spark, sf_dir), fx.gold(spark, sf_dir)
+    up = hierarchy.close_labels(gold, closed).select("row", F.col("node").alias("label"))
+    nodes = fx.nodes(spark, sf_dir)
+    implied = hierarchy.implied_nodes(gold.select(F.col("row").alias("pid"), F.col("label").alias("code")), nodes).select(F.col("pid").alias("row"), F.col("node").alias("label"))
+    chosen = fx.selections(spark, sf_dir).join(F.broadcast(closed.select("label", "ancestor")), "label").select("member", "row", F.col("ancestor").alias("label")).distinct()
+    return _r(quality.closure_effect(chosen, up, implied))
+
+
+@query(_sql(_CELLS, "SELECT rid AS row, count(*) FILTER (p = 1) AS n_labels, round(1 - max(s), 9) AS ood_score, (1 - max(s)) > 0.2 AS is_ood FROM cells GROUP BY rid"))
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = fx.cells(spark, sf_dir)
+    out = decide.finish(decide.apply_thresholds(cells, fx.THRESHOLD), fx.rows(spark, sf_dir), cells, fx.closed(spark, sf_dir), 0.2)
+    return _r(out.select("row", F.size("labels").cast("long").alias("n_labels"), "ood_score", "is_ood"), 9)
+
+
+# ---------------------------------------------------------------- statistics
+
+
+@query("WITH p AS (SELECT o_orderpriority AS name, o_orderstatus AS family, 1.0::DOUBLE / (1 + count(*)) AS p_value FROM orders GROUP BY ALL), r AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY family) AS m FROM p WINDOW w AS (PARTITION BY family ORDER BY p_value, name)) SELECT family, name, round(p_value, 9) AS p_value, round(max(least(1.0, (m - k + 1) * p_value)) OVER (PARTITION BY family ORDER BY k), 9) AS p_holm FROM r")
+def holm_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = fx.table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("family"), F.col("o_orderpriority").alias("name")).agg((1.0 / (1 + F.count("*"))).alias("p_value"))
+    return _r(stats.holm(p, ["family"]), 9)
+
+
+_COUNTS = """counts AS (SELECT c_mktsegment || ':' || c_nationkey AS pair_id, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS tp_a, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS err_a,
+  sum(CASE WHEN o_orderpriority < '3' THEN 1 ELSE 0 END) AS tp_b, sum(CASE WHEN o_orderpriority >= '3' THEN 1 ELSE 0 END) AS err_b FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)"""
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = fx.table(spark, sf_dir, "orders").join(fx.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0)).alias
+    o, p = F.col("o_orderstatus"), F.col("o_orderpriority")
+    return met.groupBy(F.concat_ws(":", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("pair_id")).agg(one(o == "O")("tp_a"), one(o == "F")("err_a"), one(p < "3")("tp_b"), one(p >= "3")("err_b"))
+
+
+@query(f"""WITH {_COUNTS}, n AS (SELECT count(*) AS n FROM counts), num AS (SELECT *, row_number() OVER (ORDER BY pair_id) - 1 AS i FROM counts),
+d AS (SELECT r, ('0x' || substr(md5('42:' || r || ':' || k), 1, 12))::BIGINT % (SELECT n FROM n) AS i FROM range(200) a(r), range(200) b(k) WHERE k < (SELECT n FROM n)),
+s AS (SELECT r, sum(tp_a) AS ta, sum(err_a) AS ea, sum(tp_b) AS tb, sum(err_b) AS eb FROM d JOIN num USING (i) GROUP BY r), diff AS (SELECT 2 * ta / (2 * ta + ea) - 2 * tb / (2 * tb + eb) AS x FROM s),
+pt AS (SELECT 2 * sum(tp_a) / (2 * sum(tp_a) + sum(err_a)) AS a, 2 * sum(tp_b) / (2 * sum(tp_b) + sum(err_b)) AS b FROM counts)
+SELECT round(a, 6) AS a, round(b, 6) AS b, round(a - b, 6) AS difference, round((SELECT quantile_cont(x, 0.025) FROM diff), 6) AS ci_low, round((SELECT quantile_cont(x, 0.975) FROM diff), 6) AS ci_high,
+  round((SELECT least(1.0, 2 * (1 + least(count(*) FILTER (x <= 0), count(*) FILTER (x >= 0))) / (1.0 + count(*))) FROM diff), 6) AS p_value, round(2 / 201.0, 6) AS p_resolution FROM pt""")
+def bootstrap_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _counts(spark, sf_dir)
+    return _r(stats.interval(stats.replicate_differences(counts, stats.hashed_draws(counts, 200)), counts))
+
+
+@query()
+def bootstrap_numpy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(stats.paired_bootstrap(_counts(spark, sf_dir), 1000))
+
+
+# ---------------------------------------------------------------- samples, splits, joins, audits
+
+
+@query("SELECT o_orderkey AS pair_id, ('0x' || substr(sha256(o_orderkey::VARCHAR), 1, 8))::BIGINT % 2 = 1 AS is_b FROM orders")
+def split_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pair_id"))
+    return o.withColumn("is_b", text.in_second_half(F.col("pair_id").cast("string")))
+
+
+@query("SELECT o_orderkey AS pair_id, o_custkey FROM orders ORDER BY sha256(o_orderkey::VARCHAR) LIMIT 120")
+def pair_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """120 orders by smallest hash: the sample is the feature."""
+    return split.hash_sample(fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pair_id"), "o_custkey"), 120)
+
+
+@query("""WITH d AS (SELECT doc_id AS ord, source AS domain, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, (SELECT count(DISTINCT source) FROM documents) AS b FROM documents), q AS (SELECT *, k <= greatest(1, 100 // b) AS f FROM d)
+SELECT ord, domain, row_number() OVER (ORDER BY CASE WHEN f THEN 0 ELSE 1 END, CASE WHEN f THEN domain END, ord)::INT AS pick FROM q QUALIFY pick <= 100""")
+def review_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.col("source").alias("domain"))
+    return split.review_sample(docs, 100).select("ord", "domain", "pick")
+
+
+@query(_sql("docs", "SELECT 'fingerprint' AS key, sha256(text) AS value, string_agg(DISTINCT split, ',' ORDER BY split) AS parts FROM docs WHERE trim(text) <> '' GROUP BY text HAVING count(DISTINCT split) > 1"))
+def leakage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = fx.doc_records(spark, sf_dir).withColumn("fingerprint", F.sha2("text", 256)).withColumn("fingerprint", F.when(F.trim("text") != "", F.col("fingerprint")))
+    found = joins.leakage(records, ["id", "fingerprint"])
+    return found.select("key", "value", F.array_join("parts", ",").alias("parts"))
+
+
+@query("""WITH c AS (SELECT conv_id, count(*) FILTER (role = 'user') AS u, count(*) FILTER (role = 'assistant') AS a FROM conversations GROUP BY conv_id)
+SELECT conv_id, 'missing_right' AS problem FROM c WHERE u > 0 AND a = 0 UNION ALL SELECT conv_id, 'missing_left' FROM c WHERE u = 0 AND a > 0 UNION ALL SELECT conv_id, 'differs_n' FROM c WHERE u > 0 AND a > 0 AND u <> a""")
+def pair_join_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = fx.table(spark, sf_dir, "conversations")
+    side = lambda role: t.where(F.col("role") == role).groupBy("conv_id").agg(F.count("*").alias("n"))
+    return joins.pair_problems(side("user"), side("assistant"), "conv_id", ["n"])
+
+
+@query("""WITH r AS (SELECT doc_id, 'doc:' || doc_id AS id, text, lang FROM documents)
+SELECT * FROM (SELECT 'language' AS rule, id AS row_id FROM r WHERE lang NOT IN ('en', 'tr', 'en-tr') UNION ALL SELECT 'labels_missing', id FROM r JOIN labels USING (doc_id) WHERE quality = 0 AND toxic = 0 UNION ALL SELECT 'labels_missing', id FROM r ANTI JOIN labels USING (doc_id))""")
+def record_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = fx.doc_records(spark, sf_dir).withColumns({"labels_direct": F.lit(None).cast("array<string>"), "project_id": F.col("id"), "pair_id": F.col("id"), "license": F.lit("CC"), "source": F.col("source")})
+    return audit.audit(records, audit.record_rules())
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def incremental_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cached = fx.table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"))
+    return joins.missing(fx.table(spark, sf_dir, "events").select("event_id", "user_id"), cached, ["user_id"])
+
+
+@query("SELECT user_id, count(DISTINCT event_type) AS values FROM events GROUP BY user_id HAVING count(DISTINCT event_type) > 1")
+def group_constraint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.group_constraint(fx.table(spark, sf_dir, "events"), ["user_id"], ["event_type"]).select("user_id", "values")
+
+
+@query()
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = fx.gold(spark, sf_dir).groupBy("row").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    return split.stratified_split(gold.select(F.col("row").alias("id"), "labels", F.col("row").alias("ord"))).select("id", "split")
+
+
+@query()
+def grouped_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner"), F.array("o_orderpriority").alias("labels"), F.col("o_orderkey").alias("ord"))
+    return split.stratified_split(o, group="owner").select("id", "owner", "split")
+
+
+@query()
+def shuffled_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.shuffled_split(fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))).select("id", "split")
+
+
+# ---------------------------------------------------------------- text
+
+
+@query(r"SELECT doc_id, md5(trim(regexp_replace(text, '[\s\x{00a0}\x{0085}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b\x1c-\x1f]+', ' ', 'g'))) AS digest FROM documents")
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.table(spark, sf_dir, "documents").select("doc_id", F.md5(text.normalize_text("text")).alias("digest"))
+
+
+@query(
+    r"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'),
+  '[\s\x{00a0}\x{0085}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{3000}\x0b\x1c-\x1f]+', ' ', 'g'))) AS digest FROM pages"""
+)
+def strip_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.table(spark, sf_dir, "pages").select("page_id", F.md5(text.clean_record_text("html", full_entities=False)).alias("digest"))
+
+
+@query()
+def html_unescape_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.table(spark, sf_dir, "pages").select("page_id", F.md5(text.clean_record_text("html")).alias("digest"))
+
+
+@query(r"SELECT sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS fingerprint, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
+def fingerprint_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fx.table(spark, sf_dir, "documents").withColumn("fingerprint", text.content_fingerprint("text", full_entities=False))
+    return docs.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+
+
+@query(r"SELECT doc_id, len(t) AS n_words, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents)")
+def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = text.words("text")
+    return fx.table(spark, sf_dir, "documents").select("doc_id", F.size(w).cast("long").alias("n_words"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"))
+
+
+_CHRF = r"""WITH """ + _CTE["pairs"] + r""", bare AS (SELECT conv_id, turn, regexp_replace(a, '\s+', '', 'g') AS a, regexp_replace(b, '\s+', '', 'g') AS b FROM pairs),
+g AS (SELECT conv_id, turn, n, substr(a, i, n) AS g, 'a' AS side FROM bare, range(1, 7) t(n), LATERAL (SELECT unnest(range(1, length(a) - n + 2)) AS i) UNION ALL SELECT conv_id, turn, n, substr(b, i, n), 'b' FROM bare, range(1, 7) t(n), LATERAL (SELECT unnest(range(1, length(b) - n + 2)) AS i)),
+c AS (SELECT conv_id, turn, n, g, count(*) FILTER (side = 'a') AS ca, count(*) FILTER (side = 'b') AS cb FROM g GROUP BY ALL),
+o AS (SELECT conv_id, turn, n, sum(least(ca, cb)) AS m, sum(ca) AS na, sum(cb) AS nb FROM c GROUP BY ALL HAVING sum(ca) > 0 AND sum(cb) > 0),
+pr AS (SELECT conv_id, turn, avg(m / na) AS p, avg(m / nb) AS r FROM o GROUP BY ALL)
+SELECT conv_id, turn, round(coalesce(100 * 5 * p * r / nullif(4 * p + r, 0), 0), 6) AS chrf FROM bare LEFT JOIN pr USING (conv_id, turn)"""
+
+
+@query(_CHRF)
+def chrf_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(quality.chrf(fx.turn_pairs(spark, sf_dir), ["conv_id", "turn"], "a", "b"))
+
+
+@query("""WITH d AS (SELECT source, length(text) AS n FROM documents) SELECT source, count(*) AS n, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.25), 6) AS p25, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.75), 6) AS p75, min(n) AS min, max(n) AS max, round(avg(CASE WHEN n < 500 THEN 1.0 ELSE 0 END), 6) AS below_500 FROM d GROUP BY source""")
+def length_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fx.table(spark, sf_dir, "documents").select("source", F.length("text").cast("long").alias("v"))
+    return _r(metrics.summary_statistics(docs, "v", (500,), ["source"]))
+
+
+@query("""WITH d AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), e AS (SELECT * FROM d UNION ALL SELECT 'all', lang, sum(n)::BIGINT FROM d GROUP BY lang)
+SELECT source, sum(n)::BIGINT AS records, string_agg(lang || '=' || n, ',' ORDER BY lang) AS detected, sum(CASE WHEN lang <> 'en' THEN n ELSE 0 END)::BIGINT AS mismatches FROM e GROUP BY source""")
+def language_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.language_counts(fx.table(spark, sf_dir, "documents"), "lang", F.lit("en"), "source")
+    shown = F.array_join(F.array_sort(F.transform(F.map_entries("detected"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ",")
+    return found.select("source", "records", shown.alias("detected"), "mismatches")
+
+
+@query("""WITH f AS (SELECT lang, doc_id AS ord, length(text) < 300 AS short, contains(text, '!!') AS loud FROM documents), g AS (SELECT lang, ord, 'short' AS "check", short AS hit FROM f UNION ALL SELECT lang, ord, 'loud', loud FROM f),
+r AS (SELECT coalesce(lang, 'all') AS lang, "check", count(*) AS records, count(*) FILTER (hit) AS flagged FROM g GROUP BY GROUPING SETS ((lang, "check"), ("check"))),
+x AS (SELECT lang, "check", string_agg('doc:' || ord, ',' ORDER BY ord) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY lang, "check" ORDER BY ord) AS k FROM g WHERE hit) WHERE k <= 5 GROUP BY ALL)
+SELECT r.lang, r."check", records, flagged, round(flagged / records, 6) AS rate, examples FROM r LEFT JOIN x ON x.lang = r.lang AND x."check" = r."check" """)
+def flag_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = fx.table(spark, sf_dir, "documents").select("lang", F.col("doc_id").alias("ord"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), (F.length("text") < 300).alias("short"), F.contains("text", F.lit("!!")).alias("loud"))
+    return _r(metrics.flag_rates(flags, ["short", "loud"], "lang").withColumn("examples", F.array_join("examples", ",")))
+
+
+@query(_sql("pairs", "SELECT conv_id, turn, length(a) > 80 AND length(b) < 0.4 * length(a) AS truncated FROM pairs"))
+def truncation_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = F.array(F.struct(F.lit(0).alias("index"), F.col("a").alias("en"), F.col("b").alias("tr")))
+    return fx.turn_pairs(spark, sf_dir).select("conv_id", "turn", text.truncated(one).alias("truncated"))
+
+
+@query(_sql("pairs", r"""SELECT conv_id, turn, CASE WHEN trim(b) = '' THEN 'empty' ELSE array_to_string(list_filter([CASE WHEN lower(trim(a)) = lower(trim(b)) THEN 'identical' END, CASE WHEN length(b) / greatest(1, length(a))::DOUBLE < 0.35 OR length(b) / greatest(1, length(a))::DOUBLE > 3 THEN 'length_ratio' END,
+  CASE WHEN regexp_matches(b, '[\x00-\x08\x0b\x0c\x0e-\x1f]') THEN 'control_characters' END], lambda x: x IS NOT NULL), ',') END AS issues FROM pairs"""))
+def translation_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.turn_pairs(spark, sf_dir).select("conv_id", "turn", F.array_join(text.translation_issues("a", "b"), ",").alias("issues"))
+
+
+_TERMS = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in variants.TERMS.items()) + "}"
+
+
+@query(rf"""SELECT conv_id, turn, CASE WHEN len(w) = 0 THEN '' ELSE 'Bu araştırma kapsamında ' || array_to_string(list_transform(w, lambda x: coalesce({_TERMS}[regexp_replace(lower(x), '[^\p{{L}}\p{{N}}_]', '', 'g')], x)), ' ') || ' geliştirilmektedir.' END AS translated
+FROM (SELECT conv_id, turn, list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM conversations)""")
+def mock_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", variants.mock_translate("text").alias("translated"))
+
+
+@query(_sql("pairs", r"""SELECT conv_id, trim(string_agg(CASE WHEN k < greatest(1, n // 2) THEN a ELSE b END, ' ' ORDER BY k)) AS mixed FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM pairs) WHERE n > 1 GROUP BY conv_id"""))
+def code_switch_chunk_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = fx.turn_pairs(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("a").alias("en"), F.col("b").alias("tr")))).alias("p")).where(F.size("p") > 1)
+    return a.select("conv_id", variants.mix_sentences("p", F.lit("en"), "chunk_mix", "balanced").alias("mixed"))
+
+
+@query()
+def code_switched_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = fx.turn_pairs(spark, sf_dir).withColumn("pair_id", F.concat_ws(":", F.lit("conv"), "conv_id", "turn"))
+    rec = lambda c, side: p.select(F.concat_ws(":", "pair_id", F.lit(side)).alias("id"), "pair_id", F.col(c).alias("text"), F.array(F.lit("x")).alias("labels"), F.lit("train").alias("split")).where(text.normalize_text("text") != "")
+    return variants.code_switched(rec("a", "en"), rec("b", "tr"))
+
+
+@query()
+def segment_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = text.segment_sentences("text")
+    return fx.table(spark, sf_dir, "documents").select("doc_id", F.size(s).alias("n_sentences"), F.md5(F.array_join(s, "\n")).alias("digest"))
+
+
+@query()
+def repetition_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.table(spark, sf_dir, "documents").select("doc_id", quality.has_repeats(text.words("text")).alias("repeats"))
+
+
+def _noise(strategy: str) -> Query:
+    def made(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = fx.table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text").where(text.normalize_text("text") != "")
+        return docs.select("id", F.md5(noise.perturb("text", "id", strategy, language="tr")).alias("digest"))
+
+    made.__name__ = f"noise_{strategy}"
+    return made
+
+
+for _name in noise.STRATEGIES:
+    query()(_noise(_name))
+
+
+@query(r"""SELECT conv_id, turn, md5(array_to_string(list_transform(string_split(text, ''), lambda c, k: CASE WHEN regexp_matches(c, '[A-Za-z0-9]') AND ('0x' || substr(md5(conv_id || ':' || (k - 1) || ':42'), 1, 6))::BIGINT < 1677721 THEN c || c ELSE c END), '')) AS digest FROM conversations WHERE text <> ''""")
+def noise_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.table(spark, sf_dir, "conversations").where("text <> ''").select("conv_id", "turn", F.md5(noise.perturb_native("text", F.col("conv_id"))).alias("digest"))
+
+
+# ---------------------------------------------------------------- features and models
+
+
+def _tf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.terms(fx.table(spark, sf_dir, "documents"), 1, "doc_id", "text")
+
+
+def _weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    tf = _tf(spark, sf_dir)
+    vocab = models.vocabulary(tf, 5, 2000)
+    return models.tfidf(tf, vocab, fx.table(spark, sf_dir, "documents").count()), vocab
+
+
+@query(_sql("tf vocab", "SELECT term, df FROM vocab"))
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.vocabulary(_tf(spark, sf_dir), 5, 2000)
+
+
+@query(_sql("tf vocab tfidf", "SELECT term, count(*) AS n_rows, round(sum(w), 6) AS mass FROM wts GROUP BY term"))
+def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, _ = _weights(spark, sf_dir)
+    return _r(w.groupBy("term").agg(F.count("*").alias("n_rows"), F.sum("w").alias("mass")))
+
+
+@query(_sql("tf", "SELECT term AS token, (row_number() OVER (ORDER BY sum(tf) DESC, term) + 1)::INT AS id FROM tf GROUP BY term QUALIFY id < 1000 UNION ALL SELECT '<PAD>', 0 UNION ALL SELECT '<UNK>', 1"))
+def token_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.token_ids(_tf(spark, sf_dir), 1000)
+
+
+@query("""WITH t AS (SELECT doc_id AS rid, source AS label FROM documents WHERE doc_id IS NOT NULL), n AS (SELECT count(*) AS n FROM documents)
+SELECT label, round(greatest(1.0, least(20.0, sqrt(((SELECT n FROM n) - count(*)) / count(*)::DOUBLE))), 6) AS weight FROM t GROUP BY label""")
+def positive_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row"), F.col("source").alias("label"))
+    return _r(models.positive_weights(t, t, t.count()))
+
+
+@query(_sql("tf vocab tfidf", """, gold AS (SELECT doc_id AS rid, lang AS label FROM documents), tot AS (SELECT term, sum(w) AS a FROM wts GROUP BY term), v AS (SELECT count(*) AS v, sum(a) AS mass FROM tot),
+n1 AS (SELECT label, term, sum(w) AS n1 FROM wts JOIN gold USING (rid) GROUP BY ALL), h AS (SELECT g.label, g.p, coalesce(s.m1, 0) AS m1 FROM (SELECT label, count(*) AS p FROM gold GROUP BY 1) g LEFT JOIN (SELECT label, sum(n1) AS m1 FROM n1 GROUP BY 1) s USING (label)),
+co AS (SELECT h.label, t.term, ln((coalesce(n1.n1, 0) + 0.03) / (h.m1 + 0.03 * v.v)) - ln((t.a - coalesce(n1.n1, 0) + 0.03) / (v.mass - h.m1 + 0.03 * v.v)) AS c, ln(h.p / ((SELECT count(*) FROM gold) - h.p)::DOUBLE) AS prior FROM h CROSS JOIN tot t CROSS JOIN v LEFT JOIN n1 ON n1.label = h.label AND n1.term = t.term),
+z AS (SELECT w.rid, co.label, max(co.prior) + sum(w.w * co.c) AS z FROM wts w JOIN co USING (term) GROUP BY ALL)
+SELECT rid AS row, label, round(1 / (1 + exp(-z)), 5) AS s FROM z"""))
+def naive_bayes_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, _ = _weights(spark, sf_dir)
+    docs = fx.table(spark, sf_dir, "documents")
+    truth = docs.select(F.col("doc_id").alias("row"), F.col("lang").alias("label"))
+    extra, head = models.fit_naive_bayes(w, truth, truth, docs.count())
+    return _r(models.score_naive_bayes(w, w.groupBy("term").agg(F.sum("w").alias("all")), extra, head), 5)
+
+
+@query(_sql("tf vocab tfidf", """, q AS (SELECT * FROM wts WHERE rid % 20 = 0), s AS (SELECT q.rid AS query, d.rid AS doc, round(sum(q.w * d.w), 9) AS sim FROM q JOIN wts d ON d.term = q.term AND d.rid % 20 <> 0 GROUP BY ALL)
+SELECT query, doc, round(sim, 6) AS sim, row_number() OVER (PARTITION BY query ORDER BY sim DESC, doc)::INT AS rank FROM s WHERE sim > 0 QUALIFY rank <= 10"""))
+def sparse_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, _ = _weights(spark, sf_dir)
+    q = w.where("row % 20 = 0").select(F.col("row").alias("query"), "term", "w")
+    d = w.where("row % 20 <> 0").select(F.col("row").alias("doc"), "term", "w")
+    sims = joins.sparse_similarity(q, d).withColumn("sim", F.round("sim", 9))
+    return _r(joins.best_by_rank(sims, 10))
+
+
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fx.table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))
+    d = e.where("vec_id % 20 <> 0").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
+    return joins.dense_top(q, d)
+
+
+@query(_sql("vecs", "SELECT query, doc, round(sim, 6) AS sim, rank::INT AS rank FROM dense"))
+def dense_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(_dense(spark, sf_dir))
+
+
+@query(_sql("vecs", "SELECT query, doc, round(1 / (60.0 + rank), 6) AS fused FROM dense"))
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(models.fuse_ranks(_dense(spark, sf_dir).drop("rank").withColumn("retriever", F.lit("dense"))))
+
+
+@query(_sql("vecs", "SELECT query, e.label, round(sum(1 / (60.0 + rank)) / max(m), 6) AS s FROM dense d JOIN embeddings e ON e.vec_id = d.doc JOIN (SELECT query, sum(1 / (60.0 + rank)) AS m FROM dense GROUP BY query) USING (query) GROUP BY query, e.label"))
+def knn_label_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = models.fuse_ranks(_dense(spark, sf_dir).drop("rank").withColumn("retriever", F.lit("dense")))
+    return _r(models.neighbour_votes(fused, fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), "label")))
+
+
+@query()
+def svm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, _ = _weights(spark, sf_dir)
+    docs = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row"), F.col("lang").alias("label"))
+    folds = split.group_folds(docs.select("row"), 3, "row")
+    return _r(models.score_linear(w, models.fit_linear(w, docs, folds, steps=30)), 4)
+
+
+@query("SELECT event_id, user_id, round(value * 2, 6) AS score FROM events")
+def score_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events scored by a stream that stops at the end of its input, read back."""
+    import uuid
+
+    from .streaming.scoring import score_stream as stream
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/arbora-checkpoints"
+    base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    source = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(source).schema
+    score = lambda d: d.select("event_id", "user_id", F.round(F.col("value") * 2, 6).alias("score"))
+    stream(spark, source, schema, score, f"{base}/out", f"{base}/checkpoint", {"model": "double", "input": source}).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("event_id", "user_id", "score")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming.scoring import windowed_counts
+
+    return windowed_counts(fx.table(spark, sf_dir, "events"), "ts", by=("event_type",)).select(F.col("window.start").alias("start"), "event_type", "n")
