@@ -242,9 +242,9 @@ def ood_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_sql("assignments labels nodes closure gold cells hier", """, r AS (SELECT rid, label, y, p FROM hier WHERE member = 'alpha' AND label IN (SELECT id FROM nodes WHERE parent IS NULL)),
-g AS (SELECT rid, label AS gold_root FROM r WHERE y = 1), sup AS (SELECT gold_root, count(*) AS support FROM g GROUP BY 1),
+g AS (SELECT rid, label AS gold_root FROM r WHERE y = 1), sup AS (SELECT gold_root, count(*) AS sn FROM g GROUP BY 1),
 hits AS (SELECT label AS gold_root, label AS root FROM r WHERE y = 1 AND p = 1 UNION ALL SELECT g.gold_root, r.label FROM g JOIN r ON r.rid = g.rid AND r.p = 1 AND r.y = 0), c AS (SELECT gold_root, root, count(*) AS c FROM hits GROUP BY ALL)
-SELECT a.id AS gold_root, b.id AS root, round(coalesce(c / support, 0), 6) AS rate FROM nodes a CROSS JOIN nodes b LEFT JOIN sup ON sup.gold_root = a.id LEFT JOIN c ON c.gold_root = a.id AND c.root = b.id WHERE a.parent IS NULL AND b.parent IS NULL"""))
+SELECT a.id AS gold_root, b.id AS root, round(coalesce(c / sn, 0), 6) AS rate FROM nodes a CROSS JOIN nodes b LEFT JOIN sup ON sup.gold_root = a.id LEFT JOIN c ON c.gold_root = a.id AND c.root = b.id WHERE a.parent IS NULL AND b.parent IS NULL"""))
 def root_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots = fx.nodes(spark, sf_dir).where("is_root").select(F.col("id").alias("label"))
     cells = jobs.hierarchical_cells(fx.cells(spark, sf_dir), fx.closed(spark, sf_dir)).join(F.broadcast(roots), "label")
@@ -721,8 +721,8 @@ def score_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/arbora-checkpoints"
     base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
-    source = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(source).schema
+    source = f"{sf_dir}/events.parque[t]"  # a pattern, as a stream's base path may be no single file
+    schema = fx.table(spark, sf_dir, "events").schema
     score = lambda d: d.select("event_id", "user_id", F.round(F.col("value") * 2, 6).alias("score"))
     stream(spark, source, schema, score, f"{base}/out", f"{base}/checkpoint", {"model": "double", "input": source}).awaitTermination()
     return spark.read.parquet(f"{base}/out").select("event_id", "user_id", "score")

@@ -13,6 +13,8 @@ from .joins import leakage, pair_problems
 #: Languages and splits that a record may have.
 LANGUAGES = ("en", "tr", "en-tr")
 SPLITS = ("train", "validation", "test")
+#: The source whose records come in pairs, and the prefix of their pair ids.
+PAIRED_SOURCE, PAIR_PREFIX = "cordis_h2020", "cordis"
 Rule = tuple[str, Column]
 
 
@@ -45,7 +47,7 @@ def record_rules(allowed: Column | None = None) -> list[Rule]:
     labels, direct = F.col("labels"), F.col("labels_direct")
     items = lambda x: ~F.exists(x, lambda i: i.isNull() | (F.trim(i) == ""))
     distinct = lambda x: F.size(F.array_distinct(x)) == F.size(x)
-    own = F.col("source") != "cordis_h2020"
+    own = F.col("source") != PAIRED_SOURCE
     rules: list[Rule] = [
         ("id", ~blank("id") & ~F.col("id").contains("::")),
         ("text", ~blank("text")),
@@ -57,7 +59,7 @@ def record_rules(allowed: Column | None = None) -> list[Rule]:
         ("direct_not_closed", direct.isNull() | labels.isNull() | (F.size(F.array_except(direct, labels)) == 0)),
         ("language", F.col("language").isin(*LANGUAGES)),
         ("source", ~blank("source")),
-        ("project_identity", own | (~blank("project_id") & (F.col("pair_id") == F.concat(F.lit("cordis:"), "project_id")))),
+        ("project_identity", own | (~blank("project_id") & (F.col("pair_id") == F.concat(F.lit(f"{PAIR_PREFIX}:"), "project_id")))),
         ("direct_unique", own | (direct.isNotNull() & distinct(direct))),
         ("license", ~blank("license")),
         ("split", F.col("split").isin(*SPLITS)),

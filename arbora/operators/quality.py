@@ -16,7 +16,9 @@ from . import metrics
 
 def chrf(pairs: DataFrame, keys: Sequence[str], hypothesis: str, reference: str, orders: int = 6, beta: float = 2.0) -> DataFrame:
     """(keys, chrf): clipped character n-gram precision and recall on 0 to 100, averaged over the orders that both texts reach."""
-    side = lambda c, s: F.flatten(F.array(*(F.transform(char_ngrams(c, n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(s).alias("side"))) for n in range(1, orders + 1))))
+    # a second argument of a transform's function would be the index
+    named = lambda n, s: lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(s).alias("side"))
+    side = lambda c, s: F.flatten(F.array(*(F.transform(char_ngrams(c, n), named(n, s)) for n in range(1, orders + 1))))
     grams = pairs.select(*keys, F.explode(F.concat(side(hypothesis, "h"), side(reference, "r"))).alias("x")).groupBy(*keys, "x.n", "x.g").agg(F.count_if(F.col("x.side") == "h").alias("h"), F.count_if(F.col("x.side") == "r").alias("r"))
     per = grams.groupBy(*keys, "n").agg(F.sum(F.least("h", "r")).alias("m"), F.sum("h").alias("h"), F.sum("r").alias("r")).where("h > 0 and r > 0")
     pr = per.groupBy(*keys).agg(F.avg(F.col("m") / F.col("h")).alias("p"), F.avg(F.col("m") / F.col("r")).alias("q"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import decide, hierarchy, metrics, stats
+from ..operators.audit import PAIR_PREFIX
 from ..sources import readers, sinks
 
 
@@ -33,7 +34,7 @@ def prepare_job(cells: DataFrame, assigned: DataFrame, nodes: DataFrame, ratios:
     direct = kept.groupBy("pid").agg(F.array_sort(F.collect_set("code")).alias("labels_direct"))
     rows = readers.projects(cells).where("repair <> 'malformed'").withColumn("text", clean_record_text(F.concat_ws(" ", "title", "objective"))).where("text <> ''")
     met = rows.join(direct, F.col("project_id") == F.col("pid")).drop("pid").join(up, F.col("project_id") == F.col("pid")).drop("pid")
-    named = met.select(F.concat_ws(":", F.lit("cordis"), "project_id", F.lit("en")).alias("id"), F.concat_ws(":", F.lit("cordis"), "project_id").alias("pair_id"), "project_id", "text", "labels_direct", "labels", "ord", content_fingerprint("text").alias("content_fingerprint"))
+    named = met.select(F.concat_ws(":", F.lit(PAIR_PREFIX), "project_id", F.lit("en")).alias("id"), F.concat_ws(":", F.lit(PAIR_PREFIX), "project_id").alias("pair_id"), "project_id", "text", "labels_direct", "labels", "ord", content_fingerprint("text").alias("content_fingerprint"))
     placed = stratified_split(named, ratios, seed)
     return placed.withColumn("split", F.element_at(F.array(F.lit("train"), F.lit("validation"), F.lit("test")), F.col("split") + 1))
 

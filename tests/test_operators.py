@@ -296,3 +296,63 @@ def test_prepare_job(spark):
     got = jobs.prepare_job(cells, assigned, nodes).collect()
     assert len(got) == 20 and got[0]["text"].startswith("Title") and sorted({r["split"] for r in got}) == ["test", "train", "validation"]
     assert all(r["labels"][0] == "/1" for r in got)
+
+
+def test_chrf_and_repeats(spark):
+    from collections import Counter
+
+    from arbora.operators import quality
+
+    def plain(h, r):
+        p = q = n_ = 0
+        for n in range(1, 7):
+            a, b = (Counter("".join(t.split())[i : i + n] for i in range(len("".join(t.split())) - n + 1)) for t in (h, r))
+            if a and b:
+                m = (a & b).total()
+                p, q, n_ = p + m / a.total(), q + m / b.total(), n_ + 1
+        return 100 * 5 * (p / n_) * (q / n_) / (4 * p / n_ + q / n_) if p + q else 0.0
+
+    pairs = [(0, "the cat sat", "the cat sat down"), (1, "", "x"), (2, "abc", "xyz"), (3, "ab", "abab ab"), (4, "çok güzel", "cok güzel")]
+    got = {r["k"]: r["chrf"] for r in quality.chrf(spark.createDataFrame(pairs, "k int, h string, r string"), ["k"], "h", "r").collect()}
+    for k, h, r in pairs:
+        assert got[k] == pytest.approx(plain(h, r))
+    t = "a b c d a b c d e".split()
+    assert list(quality.repeated_spans(t)) == [(4, 0)]
+    assert list(quality.repeated_spans(["x"] * 9)) == [(4, 0), (4, 1)] and list(quality.repeated_spans(["x", "y"])) == []
+    df = spark.createDataFrame([(t, "q".split()), (t, t), (["z"], ["z"])], "a array<string>, b array<string>")
+    assert [r[0] for r in df.select(quality.translation_repeats(F.col("a"), F.col("b"))).collect()] == [True, False, False]
+
+
+def test_partitions_and_exceptions(spark):
+    from arbora.operators import quality
+
+    rows = spark.createDataFrame([(0, "a"), (1, "b"), (2, "a"), (2, "b")], "row int, label string")
+    shapes = spark.createDataFrame([("a", "r1"), ("b", "r2")], "label string, root string")
+    assert {r["row"]: r["part"] for r in quality.near_ood_partition(rows, shapes, ["r1"]).collect()} == {0: "only", 1: "none", 2: "mixed"}
+    c = cells(spark, ["a", "b"], ["a", "a"])
+    got = {r["part"]: r["micro_f1"] for r in quality.with_and_without(c, spark.createDataFrame([(1,)], "row int"), names(spark, "ab")).collect()}
+    assert got == {"all": 0.5, "only": 0.0, "without": 1.0}
+    v = lambda x: spark.createDataFrame([(0, [1.0, x])], "row int, v array<double>")
+    assert quality.canary_problems(v(0.0), v(0.001)).count() == 0 and quality.canary_problems(v(0.0), v(0.1)).count() == 1
+
+
+def test_terms_and_tfidf(spark):
+    docs = spark.createDataFrame([(0, "The cat the cat x"), (1, "a cat sat"), (2, None)], "row int, text string")
+    tf = models.terms(docs, 2)
+    got = {(r["row"], r["term"]): r["tf"] for r in tf.collect()}
+    assert got == {(0, "the"): 2, (0, "cat"): 2, (0, "the cat"): 2, (0, "cat the"): 1, (1, "cat"): 1, (1, "sat"): 1, (1, "cat sat"): 1}
+    w = models.tfidf(tf, models.vocabulary(tf, 2, 10), 3).collect()
+    assert {(r["row"], r["term"], round(r["w"], 9)) for r in w} == {(0, "cat", 1.0), (1, "cat", 1.0)}
+    ids = {r["token"]: r["id"] for r in models.token_ids(tf, 4).collect()}
+    assert ids == {"<PAD>": 0, "<UNK>": 1, "cat": 2, "the": 3}
+    toks = spark.createDataFrame([(0, ["cat", "dog"]), (1, []), (2, ["the"] * 5)], "row int, tokens array<string>")
+    enc = {r["row"]: r["ids"] for r in models.encode_tokens(toks, spark.createDataFrame(list(ids.items()), "token string, id int"), 3).collect()}
+    assert enc == {0: [2, 1, 0], 1: [0, 0, 0], 2: [3, 3, 3]}
+
+
+def test_linear_model_separates(spark):
+    w = spark.createDataFrame([(i, t, 0.7) for i in range(30) for t in (("p", "z") if i % 2 else ("q", "z"))], "row int, term string, w double")
+    truth = spark.createDataFrame([(i, "yes" if i % 2 else "no") for i in range(30)], "row int, label string")
+    folds = split.group_folds(spark.range(30).select(F.col("id").cast("int").alias("row")), 3, "row")
+    got = {(r["row"], r["label"]): r["s"] for r in models.score_linear(w, models.fit_linear(w, truth, folds)).collect()}
+    assert all((got[(i, "yes")] > 0.5) == bool(i % 2) for i in range(30)) and len(got) == 60
