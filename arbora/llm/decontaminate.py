@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,31 +31,19 @@ STRETCH = 2
 MIN_SCORE, MIN_WORDS = 0.5, 8
 ITEMS = 20_000
 MATCH, MISMATCH, GAP = 2, -1, -1
-_STRIP = b".,;:!?\"'()[]{}*#$%&|<>"
-
-
-def raw_words(text: bytes) -> list[bytes]:
-    """Lower-cased words cut at ASCII white space."""
-    return (text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()).split()
+_MARKS = b".,;:!?\"'()[]{}*#$%&|<>"
 
 
 def words_of(text: bytes) -> list[bytes]:
-    """Lower-cased words without marks at their ends."""
-    return [w.strip(_STRIP) for w in raw_words(text)]
-
-
-class Codes(dict):
-    """Raw lower-cased word -> its number among the items' words, 0 for others; bounded."""
+    """Lower-cased words, cut at ASCII white space, without marks; a word of marks alone is none."""
+    lower = text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
+    return lower.translate(None, _MARKS).split()
 
-    def __init__(self, known: dict[bytes, int], remembered: int = 400_000) -> None:
-        super().__init__()
-        self.known, self.remembered = known, remembered
 
-    def __missing__(self, raw: bytes) -> int:
-        code = self.known.get(raw.strip(_STRIP), 0)
-        if len(self) < self.remembered:
-            self[raw] = code
-        return code
+def codes_of(text: bytes, known: dict[bytes, int]) -> np.ndarray:
+    """Numbers of a text's words among the items' words, 0 for others."""
+    words = words_of(text)
+    return np.fromiter(map(known.get, words, repeat(0)), np.int64, len(words))
 
 
 @dataclass
@@ -142,11 +131,9 @@ def document_frequencies(docs: DataFrame, items: Items, text_col: str = "text")
     named = docs.select(F.col(text_col).alias("text"))
 
     def work(batch: pa.RecordBatch) -> dict | None:
-        codes = Codes(items.known)
         count = np.zeros(len(table), np.int64)
         for text in text_bytes(batch.column(0)):
-            raw = raw_words(text)
-            _, row = gram_hits(np.fromiter(map(codes.__getitem__, raw), np.int64, len(raw)), table)
+            _, row = gram_hits(codes_of(text, items.known), table)
             count[np.unique(row)] += 1
         seen = np.flatnonzero(count)
         return {"g": seen, "n": count[seen]}
@@ -175,10 +162,9 @@ class Seeds:
         self.rarity = frequency[rows] if rows else np.zeros(0, np.int64)
         self.items = items
 
-    def leaks(self, text: bytes, codes: Codes, min_score: float = MIN_SCORE) -> list[tuple[int, float, int, int]]:
+    def leaks(self, text: bytes, min_score: float = MIN_SCORE) -> list[tuple[int, float, int, int]]:
         """(item number, score, first word, last word + 1) of the best passage of each item that leaks."""
-        raw = raw_words(text)
-        words = np.fromiter(map(codes.__getitem__, raw), np.int64, len(raw))
+        words = codes_of(text, self.items.known)
         spots, row = gram_hits(words, self.table)
         if not len(spots):
             return []
@@ -238,11 +224,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, i
         seeds = Seeds(items, document_frequencies(docs, items, text_col))
 
         def work(batch: pa.RecordBatch, seeds: Seeds = seeds) -> dict:
-            codes = Codes(seeds.items.known)
             rows: list[int] = []
             found: list[tuple] = []
             for row, text in enumerate(text_bytes(batch.column(1))):
-                for leak in seeds.leaks(text, codes, min_score):
+                for leak in seeds.leaks(text, min_score):
                     rows.append(row)
                     found.append(leak)
             return {
@@ -259,10 +244,9 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_
     name = "_arbora_leaks"
     for items in item_blocks(benchmark):
         seeds = Seeds(items, document_frequencies(docs, items, text_col))
-        codes = Codes(items.known)
 
-        def work(texts: list[bytes], seeds: Seeds = seeds, codes: Codes = codes) -> dict:
-            return {name: [bool(seeds.leaks(x, codes, min_score)) for x in texts]}
+        def work(texts: list[bytes], seeds: Seeds = seeds) -> dict:
+            return {name: [bool(seeds.leaks(x, min_score)) for x in texts]}
 
         docs = with_columns_pass(docs, text_col, T.StructType([T.StructField(name, T.BooleanType())]), work).where(~F.col(name)).drop(name)
     return docs
