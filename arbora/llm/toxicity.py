@@ -22,7 +22,7 @@ from .common import arrow_pass, label_counts, labelled_sample, sigmoid, text_byt
 BITS = 17
 #: Labelled rows of each class that the fit takes at most.
 PER_CLASS = 2000
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 _END, _LINE = 4096.0, b"\x01"
 _STRIP = b".,;:!?\"'()[]{}*#$%&|<>"
 
