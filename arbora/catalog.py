@@ -533,7 +533,7 @@ SELECT conv_id, turn, round(coalesce(100 * 5 * p * r / nullif(4 * p + r, 0), 0),
 
 @query(_CHRF)
 def chrf_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(quality.chrf(fx.turn_pairs(spark, sf_dir), ["conv_id", "turn"], "a", "b"))
+    return _r(quality.chrf(fx.spread(fx.turn_pairs(spark, sf_dir)), ["conv_id", "turn"], "a", "b"))
 
 
 @query("""WITH d AS (SELECT source, length(text) AS n FROM documents) SELECT source, count(*) AS n, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.25), 6) AS p25, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.75), 6) AS p75, min(n) AS min, max(n) AS max, round(avg(CASE WHEN n < 500 THEN 1.0 ELSE 0 END), 6) AS below_500 FROM d GROUP BY source""")

@@ -117,8 +117,18 @@ def in_second_half(pair: Column | str) -> Column:
 ABBREVIATIONS = ("e.g.", "i.e.", "al.", "Fig.", "et al.", "vs.", "Dr.", "Prof.", "approx.", "dept.", "no.", "ca.", "c.a.", "viz.")
 #: Bullet signs.
 BULLETS = "•●○▪▶►✓✔"
+#: List marks, repairs before the cut in order, and where sentences are cut.
 _ITEM = r"(?:[0-9ivx]+\.|\([0-9ivxa-z]+\)|[0-9ivxa-z]+\))"
 
+REPAIRS = (
+    (r"([a-z0-9])\.([A-Z])", "$1. $2"),
+    (rf"(?<=[^\s.:;])\s*([{BULLETS}])\s*", ". $1 "),
+    (rf"([{BULLETS}])\s*", "$1 "),
+    (rf"([;:])\s*({_ITEM})\s*([A-Za-z])", "$1 $2 $3"),
+    (r"\b([a-zA-Z]{3,})-\s+([a-zA-Z]{3,})\b", "$1$2"),
+)
+CUT = rf"(?<=[.!?])\s+(?=[A-Z0-9\"'({BULLETS}\-])|(?<=[^\s])\s*(?=[{BULLETS}])|(?<=[;:])\s+(?={_ITEM}\s+[A-Z])"
+
 
 def segment_sentences(text: Column | str) -> Column:
     """Sentences of a text; none for blank text, else at least one.
@@ -131,15 +141,8 @@ def segment_sentences(text: Column | str) -> Column:
     out = whole
     for plain, hidden in hide:
         out = F.replace(out, F.lit(plain), F.lit(hidden))
-    for pattern, to in (
-        (r"([a-z0-9])\.([A-Z])", "$1. $2"),
-        (rf"(?<=[^\s.:;])\s*([{BULLETS}])\s*", ". $1 "),
-        (rf"([{BULLETS}])\s*", "$1 "),
-        (rf"([;:])\s*({_ITEM})\s*([A-Za-z])", "$1 $2 $3"),
-        (r"\b([a-zA-Z]{3,})-\s+([a-zA-Z]{3,})\b", "$1$2"),
-    ):
+    for pattern, to in REPAIRS:
         out = F.regexp_replace(out, pattern, to)
-    cut = rf"(?<=[.!?])\s+(?=[A-Z0-9\"'(•●○▪▶►\-])|(?<=[^\s])\s*(?=[{BULLETS}])|(?<=[;:])\s+(?={_ITEM}\s+[A-Z])"
 
     def shown(part: Column) -> Column:
         part = F.regexp_replace(part, r"^\s+|\s+$", "")
@@ -147,7 +150,7 @@ def segment_sentences(text: Column | str) -> Column:
             part = F.replace(part, F.lit(hidden), F.lit(plain))
         return part
 
-    found = F.filter(F.transform(F.split(out, cut, -1), shown), lambda s: (s != "") & (s != "."))
+    found = F.filter(F.transform(F.split(out, CUT, -1), shown), lambda s: (s != "") & (s != "."))
     some = F.when(F.size(found) > 0, found).otherwise(F.array(whole))
     return F.when(whole == "", F.array().cast("array<string>")).otherwise(some)
 

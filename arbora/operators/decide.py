@@ -30,6 +30,14 @@ def selected_labels(scores: DataFrame, row: str = "row") -> DataFrame:
     return scores.groupBy(row).agg(F.transform(order, lambda x: F.struct(x["label"].alias("label"), x["score"].alias("score"))).alias("labels"))
 
 
+def _at_or_under(s: Column, values: Sequence[float], lo: int, hi: int) -> Column:
+    """How many of the sorted values are at or under s: a binary search written out as comparisons."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(s >= F.lit(float(values[mid])), _at_or_under(s, values, mid + 1, hi)).otherwise(_at_or_under(s, values, lo, mid))
+
+
 def tune_threshold(cells: DataFrame, by: By = (), grid: Sequence[float] = GRID, lowest: bool = True, keep_all: bool = False) -> DataFrame:
     """The threshold of a grid with the best micro-F1 (ties: lowest, or highest), in one pass over dense cells.
 
@@ -38,7 +46,7 @@ def tune_threshold(cells: DataFrame, by: By = (), grid: Sequence[float] = GRID,
     """
     values = sorted(grid)
     table = F.array(*(F.lit(float(v)) for v in values))
-    step = F.aggregate(table, F.lit(0), lambda a, v: a + F.when(F.col("s") >= v, 1).otherwise(0))  # grid values at or under s
+    step = _at_or_under(F.col("s"), values, 0, len(values))
     per = cells.groupBy(*by, step.alias("k")).agg(F.sum("y").alias("y"), F.count("*").alias("n"))
     dims = cells.sparkSession.range(len(values) + 1).select(F.col("id").cast("int").alias("k"))
     if by:

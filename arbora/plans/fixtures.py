@@ -63,13 +63,23 @@ def hashed(row: Column, label: Column, member: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", row.cast("string"), label, member)), 1, 6), 16, 10).cast("long") / F.lit(16777216.0)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores: for slim rows that each make much work, which would else share one task."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def cells(spark: SparkSession, sf_dir: str, members: tuple[str, ...] = MEMBERS[:1]) -> DataFrame:
-    """(member, row, label, y, s, p): every order, label and member."""
+    """(member, row, label, y, s, p): every order, label and member.
+
+    Gold labels travel as one short list an order, so the dense cells are made in place and never shuffled.
+    """
     names = spark.createDataFrame([(m,) for m in members], "member string")
     dims = F.broadcast(labels(spark, sf_dir).crossJoin(F.broadcast(names)))  # labels of one tree and a few members
-    full = rows(spark, sf_dir).crossJoin(dims).join(gold(spark, sf_dir).withColumn("y", F.lit(1)), ["row", "label"], "left").fillna(0, ["y"])
+    own = gold(spark, sf_dir).groupBy("row").agg(F.collect_set("label").alias("own"))
+    full = spread(rows(spark, sf_dir).join(own, "row", "left")).crossJoin(dims)
+    marked = full.withColumn("y", F.when(F.array_contains("own", F.col("label")), 1).otherwise(0))
     h = hashed(F.col("row"), F.col("label"), F.col("member"))
-    scored = full.withColumn("s", F.when(F.col("y") == 1, 0.3 + 0.7 * h).otherwise(0.75 * h))
+    scored = marked.withColumn("s", F.when(F.col("y") == 1, 0.3 + 0.7 * h).otherwise(0.75 * h))
     return scored.select("member", "row", "label", "y", "s", F.when(F.col("s") >= THRESHOLD, 1).otherwise(0).alias("p"))
 
 
