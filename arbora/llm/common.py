@@ -17,6 +17,9 @@ ARROW_ROWS = "1000"
 
 _folders: dict[str, str] = {}
 
+#: What a Python worker keeps from task to task; a pass of another kind lets it go first.
+kept_by_worker: dict[str, object] = {}
+
 
 def session_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
@@ -96,6 +99,7 @@ def arrow_pass(
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker.clear()
         for batch in batches:
             if batch.num_rows and (made := work(batch)) is not None:
                 yield pa.RecordBatch.from_arrays([as_array(made[f.name], f.type) for f in arrow], schema=arrow)
@@ -122,6 +126,7 @@ def with_columns_pass(
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by_worker.clear()
         for batch in batches:
             made = work(text_bytes(batch.column(at)))
             arrays = [*batch.columns, *(as_array(made[f.name], f.type) for f in arrow)]

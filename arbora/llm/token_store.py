@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, new_path, text_bytes
+from .common import bounded_batches, kept_by_worker, new_path, text_bytes
 
 MAGIC = b"ARBDAC01"
 CHUNK, RANK = 8, 512
 #: Tokens of a file image aimed at; a longer document has an image of its own.
 IMAGE_TOKENS = 1 << 20
 #: Text pieces whose ids a worker remembers; others are encoded again.
-REMEMBERED = 1_200_000
+REMEMBERED = 800_000
 END_ID = 0
 
 
@@ -213,15 +213,12 @@ class Pieces(dict):
             return self.whole(text)
 
 
-_pieces: dict[str, Pieces] = {}
-
-
 def pieces_of(file: str) -> Pieces:
     """A worker's pieces for a vocabulary file, kept from task to task."""
-    if file not in _pieces:
-        _pieces.clear()
-        _pieces[file] = Pieces(file)
-    return _pieces[file]
+    if file not in kept_by_worker:
+        kept_by_worker.clear()
+        kept_by_worker[file] = Pieces(file)
+    return kept_by_worker[file]
 
 
 def bytes_as_letters() -> dict[int, str]:
