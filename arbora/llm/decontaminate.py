@@ -1,10 +1,16 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Documents are read twice. The first pass counts in how many documents each n-gram of the test items occurs;
-for every stretch of an item the rarest n-gram is a seed, so no part of an item goes without
-one however common it is. The second pass looks the seeds up in each document; passages around hits are
-aligned with the item word by word (match 2, mismatch -1, gap -1). A passage whose score reaches
-min_score of the item's best possible score, with its words edited, dropped or added, is a leak.
+Seeds are gapped 2-grams, two words at most one apart, in the item as in the document. Let G be the score that
+makes a leak of an item. Between two matched words that follow each other in an alignment, each error costs 1,
+so of M matches, at most M - G / 2 neighbours have two errors or more between them, and G / 2 - 1 or
+more have one at most: so many of the item's words begin a gapped 2-gram that the document holds too, within
+the 3 * words - G words that such an alignment can span. No edit that leaves the score at G goes unseen.
+
+Documents are read twice. The first pass counts in how many documents each 2-gram occurs, and the most frequent
+half of the beginnings that must hit are left out as seeds; the others must still hit half as often. The second
+pass looks the seeds up in each document; passages with hits enough are aligned with the item word by word
+(match 2, mismatch -1, gap -1). A passage whose score reaches min_score of the item's best possible
+score, with its words edited, dropped or added, is a leak.
 
 Test items are handled in blocks of at most ITEMS, each with its own two passes, so what a task holds is
 bounded however long the list; hits of one passage are merged before alignment.
@@ -24,9 +30,8 @@ from pyspark.sql import types as T
 
 from .common import arrow_pass, text_bytes, with_columns_pass
 
-N = 3
-#: Seeds are the rarest n-gram of each so many next to one another.
-STRETCH = 2
+#: Distances between the two words of a gapped 2-gram.
+STEPS = (1, 2)
 #: Share of an item's best alignment score that makes a leak, and words that a shorter item is left out for.
 MIN_SCORE, MIN_WORDS = 0.5, 8
 ITEMS = 20_000
@@ -64,31 +69,25 @@ class Items:
             if len(found) >= min_words:
                 ids.append(item)
                 words.append(np.array([known.setdefault(w, len(known) + 1) for w in found], np.int64))
-        every = [grams(w) for w in words]
+        every = [grams(w)[0] for w in words]
         return cls(ids, words, known, np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64))
 
 
-def grams(codes: np.ndarray) -> np.ndarray:
-    """Numbers of the n-grams; word numbers have 21 bits, so three fit without collision."""
-    m = len(codes) - N + 1
-    if m <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(m, np.uint64)
-    for k in range(N):
-        out = (out << np.uint64(21)) | codes[k : k + m].astype(np.uint64)
-    return out
+def grams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, first words' positions) of the gapped 2-grams of known words."""
+    value, spots = [], []
+    for step in STEPS:
+        spot = np.flatnonzero((codes[:-step] > 0) & (codes[step:] > 0))
+        spots.append(spot)
+        value.append((codes[spot].astype(np.uint64) << np.uint64(32)) | codes[spot + step].astype(np.uint64))
+    return np.concatenate(value), np.concatenate(spots)
 
 
 def gram_hits(codes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, table rows) of a document's n-grams that are in the sorted table."""
-    m = len(codes) - N + 1
-    if m <= 0 or not len(table):
+    """(positions, table rows) of a document's gapped 2-grams that are in the sorted table."""
+    value, spots = grams(codes)
+    if not len(value) or not len(table):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    full = codes > 0
-    spots = np.flatnonzero(full[:m] & full[1 : m + 1] & full[2 : m + 2])
-    if not len(spots):
-        return spots, spots
-    value = (codes[spots].astype(np.uint64) << np.uint64(42)) | (codes[spots + 1].astype(np.uint64) << np.uint64(21)) | codes[spots + 2].astype(np.uint64)
     row = np.searchsorted(table, value)
     row[row == len(table)] = 0
     keep = table[row] == value
@@ -146,53 +145,75 @@ def document_frequencies(docs: DataFrame, items: Items, text_col: str = "text")
 
 
 class Seeds:
-    """Seeds of a block of items: for each stretch of n-grams the rarest."""
-
-    def __init__(self, items: Items, frequency: np.ndarray, stretch: int = STRETCH) -> None:
-        at: dict[int, list[tuple[int, int]]] = {}
+    """Seeds of a block of items: the 2-grams of all but the most frequent beginnings."""
+
+    def __init__(self, items: Items, frequency: np.ndarray, min_score: float = MIN_SCORE) -> None:
+        sizes = np.array([len(w) for w in items.words], np.int64)
+        self.goal = np.ceil(min_score * MATCH * sizes - 1e-9).astype(np.int64)
+        #: Words that an alignment of the goal can span.
+        self.span = 3 * sizes - self.goal
+        must = np.maximum(1, -(-self.goal // 2) - 1)
+        #: Seeds that hit in each such alignment.
+        self.least = must - must // 2
+        pairs = []
         for k, words in enumerate(items.words):
-            row = np.searchsorted(items.grams, grams(words))
-            for lo in range(0, len(row), stretch):
-                part = row[lo : lo + stretch]
-                best = int(np.argmin(frequency[part]))
-                at.setdefault(int(part[best]), []).append((k, lo + best))
-        rows = sorted(at)
-        self.table = items.grams[rows] if rows else np.zeros(0, np.uint64)
-        self.places = [at[r] for r in rows]
-        self.rarity = frequency[rows] if rows else np.zeros(0, np.int64)
+            value, spot = grams(words)
+            row = np.searchsorted(items.grams, value)
+            often = np.bincount(spot, frequency[row], len(words))
+            kept = np.ones(len(words), bool)
+            kept[np.argsort(-often, kind="stable")[: must[k] // 2]] = False
+            row = row[kept[spot] & (frequency[row] > 0)]
+            pairs.append(np.stack([row, np.full(len(row), k)], 1))
+        made = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
+        rows, begins = np.unique(made[:, 0], return_index=True)
+        self.table = items.grams[rows]
+        self.bounds = np.append(begins, len(made))
+        self.item = np.ascontiguousarray(made[:, 1])
         self.items = items
 
-    def leaks(self, text: bytes, min_score: float = MIN_SCORE) -> list[tuple[int, float, int, int]]:
-        """(item number, score, first word, last word + 1) of the best passage of each item that leaks."""
-        words = codes_of(text, self.items.known)
+    def passages(self, words: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """Ranges of a document's words, by item, outside which no alignment of the goal lies."""
         spots, row = gram_hits(words, self.table)
         if not len(spots):
-            return []
-        near: dict[int, list[int]] = {}
-        for spot, r in zip(spots.tolist(), row.tolist(), strict=True):
-            for item, place in self.places[r]:
-                near.setdefault(item, []).append(spot - place)
+            return {}
+        begin = self.bounds[row]
+        many = self.bounds[row + 1] - begin
+        ends = np.cumsum(many)
+        item = self.item[np.repeat(begin - ends + many, many) + np.arange(ends[-1])]
+        key = np.unique((item << 32) | np.repeat(spots, many))
+        item, spot = key >> 32, key & 0xFFFFFFFF
+        last = np.arange(len(key)) + self.least[item] - 1
+        inside = last < len(key)
+        last = np.where(inside, last, 0)
+        met = np.flatnonzero(inside & (item[last] == item) & (spot[last] - spot < self.span[item]))
+        out: dict[int, list[tuple[int, int]]] = {}
+        for k, at in zip(item[met].tolist(), spot[met].tolist(), strict=True):
+            reach = int(self.span[k])
+            a, b = max(0, at - reach), min(len(words), at + reach + 1)
+            held = out.setdefault(k, [])
+            if held and a <= held[-1][1]:
+                held[-1] = (held[-1][0], b)
+            else:
+                held.append((a, b))
+        return out
+
+    def leaks(self, text: bytes) -> list[tuple[int, float, int, int]]:
+        """(item number, score, first word, last word + 1) of the best passage of each item that leaks."""
+        words = codes_of(text, self.items.known)
         out = []
-        for item, begins in near.items():
+        for item, ranges in self.passages(words).items():
             goal = self.items.words[item]
             size, most = len(goal), MATCH * len(goal)
-            begins.sort()
             best = (0, 0, 0)
-            lo = 0
-            while lo < len(begins):
-                hi = lo
-                while hi + 1 < len(begins) and begins[hi + 1] - begins[hi] <= size // 2:
-                    hi += 1
-                a, b = max(0, begins[lo] - size // 2), min(len(words), begins[hi] + size + size // 2)
+            for a, b in ranges:
                 part = words[a:b]
                 # no alignment scores over the words they share
                 shared = int(np.isin(part, goal).sum())
-                if MATCH * min(shared, size) >= min_score * most and MATCH * min(shared, size) > best[0]:
+                if MATCH * min(shared, size) >= self.goal[item] and MATCH * min(shared, size) > best[0]:
                     score, x, y = align(goal, part)
                     if score > best[0]:
                         best = (score, a + x, a + y)
-                lo = hi + 1
-            if best[0] >= min_score * most:
+            if best[0] >= self.goal[item]:
                 out.append((item, best[0] / most, best[1], best[2]))
         return sorted(out)
 
@@ -221,13 +242,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, i
     )
     out = docs.sparkSession.createDataFrame([], schema)
     for items in item_blocks(benchmark):
-        seeds = Seeds(items, document_frequencies(docs, items, text_col))
+        seeds = Seeds(items, document_frequencies(docs, items, text_col), min_score)
 
         def work(batch: pa.RecordBatch, seeds: Seeds = seeds) -> dict:
             rows: list[int] = []
             found: list[tuple] = []
             for row, text in enumerate(text_bytes(batch.column(1))):
-                for leak in seeds.leaks(text, min_score):
+                for leak in seeds.leaks(text):
                     rows.append(row)
                     found.append(leak)
             return {
@@ -243,10 +264,10 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_
     """docs without the rows into which a test item leaks; columns and other rows stay as they are."""
     name = "_arbora_leaks"
     for items in item_blocks(benchmark):
-        seeds = Seeds(items, document_frequencies(docs, items, text_col))
+        seeds = Seeds(items, document_frequencies(docs, items, text_col), min_score)
 
         def work(texts: list[bytes], seeds: Seeds = seeds) -> dict:
-            return {name: [bool(seeds.leaks(x, min_score)) for x in texts]}
+            return {name: [bool(seeds.leaks(x)) for x in texts]}
 
         docs = with_columns_pass(docs, text_col, T.StructType([T.StructField(name, T.BooleanType())]), work).where(~F.col(name)).drop(name)
     return docs

@@ -164,6 +164,35 @@ def test_a_common_item_is_still_found(spark):
     assert got.count() == 300 and got.where("score < 1").count() == 0
 
 
+@pytest.mark.parametrize("edit", ["replace every 4th", "drop every 4th", "replace every 3rd", "add after every 2nd", "add after every word"])
+def test_edited_copies_are_found(spark, edit):
+    """Copies that are an item's only occurrence, with a score over 0.5, among texts of the same words."""
+    rng = random.Random(6)
+    items = [(k, [f"w{rng.randrange(400)}" for _ in range(rng.randint(16, 40))]) for k in range(30)]
+    docs, want = [], set()
+    for k, w in items:
+        if edit == "replace every 4th":
+            w = [x if j % 4 != 3 else f"new{j}" for j, x in enumerate(w)]
+        elif edit == "drop every 4th":
+            w = [x for j, x in enumerate(w) if j % 4 != 3]
+        elif edit == "replace every 3rd":
+            w = [x if j % 3 != 2 else f"new{j}" for j, x in enumerate(w)]
+        else:
+            every = 2 if edit == "add after every 2nd" else 1
+            w = [y for j, x in enumerate(w) for y in ([x] if j % every != every - 1 else [x, f"new{j}"])]
+        body = [f"w{rng.randrange(400)}" for _ in range(60)]
+        docs.append((k, " ".join(body[:30] + w + body[30:])))
+    for k, text in docs:
+        for i, w in items:
+            codes = {x: j for j, x in enumerate(dict.fromkeys(text.split()))}
+            goal, passage = np.array([codes.get(x, -1) for x in w]), np.array([codes[x] for x in text.split()])
+            if decontaminate.align(goal, passage)[0] >= len(goal):
+                want.add((k, i))
+    assert len(want) >= 25
+    got = decontaminate.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want
+
+
 # ---------------------------------------------------------------- pipeline
 
 
