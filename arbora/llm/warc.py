@@ -26,10 +26,9 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, dropped, new_path, text_bytes, written
 
 MAGIC, BREAK = b"WARC/1.", b"\r\n\r\n"
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 #: Bytes of an archive file aimed at, and of the blocks in which candidates are chained.
 FILE_BYTES, BLOCK = 32 << 20, 1 << 20
-#: Bytes that a record's header may have; a longer one is an error.
-HEADER = 1 << 20
 #: Pages whose heads payloads on their way are compressed against.
 SHARED_PAGES = 128
 DATE = "2024-01-01T00:00:00Z"
@@ -104,12 +103,9 @@ def write_archives(pages: DataFrame, path: str, at_least: int = 0, file_bytes: i
 
 def header_of(content: bytes, at: int) -> tuple[dict[bytes, bytes], int, int] | None:
     """(fields, start of the block, length of the block) of a record that starts at `at`; None if none can."""
-    end = content.find(BREAK, at, at + HEADER)
-    if end < 0:
+    if not _VERSION.match(content, at) or (end := content.find(BREAK, at)) < 0:
         return None
     lines = content[at:end].split(b"\r\n")
-    if not re.fullmatch(rb"WARC/1\.[01]", lines[0]):
-        return None
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in lines[1:])}
     length = fields.get(b"content-length", b"")
     return (fields, end + 4, int(length)) if re.fullmatch(rb"\d{1,18}", length) else None
@@ -193,8 +189,11 @@ def _told(fields: dict[bytes, bytes], body: bytes, ident: re.Pattern) -> tuple:
     return (int(page[1]) if page else None, size, digest, stated, kind, int(refers[1]) if refers else None, url.decode("utf-8", "replace") if url is not None else None)
 
 
-def read_archives(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """The true records of all archives under path: candidates that the chain from each file's start reaches."""
+def read_archives(spark: SparkSession, path: str, block: int = BLOCK, whole: bool = False) -> DataFrame:
+    """The true records of all archives under path: candidates that the chain from each file's start reaches.
+
+    A chain that breaks off hides the rest of its file; with whole, that is an error.
+    """
     found = written(candidates(spark, path, block), "warc-candidates")
     edges = found.select("file", "off", "exit").distinct()
     zero = edges.where("off = 0").select("file", F.col("off").alias("at"))
@@ -216,6 +215,10 @@ def read_archives(spark: SparkSession, path: str, block: int = BLOCK) -> DataFra
         twice = written(jump.join(far, (F.col("file") == F.col("f")) & (F.col("exit") == F.col("o"))).select("file", "off", F.col("e").alias("exit")), "warc-jumps")
         dropped(jump)
         jump = twice
+    if whole:
+        sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select(F.col("path").alias("file"), F.col("length").alias("at"))
+        if broken := sizes.join(reach, ["file", "at"], "left_anti").limit(3).collect():
+            raise ValueError(f"the chain of records breaks off before the end of {', '.join(r['file'] for r in broken)}")
     entries = reach.join(found.select("file", "block", "off", F.col("tin").alias("entry")), (reach["file"] == found["file"]) & (reach["at"] == found["off"])).select(found["file"].alias("f"), F.col("block").alias("b"), "entry").distinct()
     kept = found.join(entries, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")) & (F.col("tin") <= F.col("entry")) & (F.col("tout") >= F.col("entry")))
     return kept.select("file", "off", "succ", "page_id", "url", "payload_bytes", "payload_digest", "stated_digest", "record_type", "refers_to")
@@ -225,4 +228,4 @@ def archived(pages: DataFrame, at_least: int = 0) -> DataFrame:
     """Writes pages to archives in the shared folder and reads their records back."""
     path = new_path(pages.sparkSession, "warc")
     write_archives(pages, path, at_least)
-    return read_archives(pages.sparkSession, path)
+    return read_archives(pages.sparkSession, path, whole=True)

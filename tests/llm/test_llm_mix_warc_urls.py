@@ -103,6 +103,19 @@ def test_warc_round_trip(spark, tmp_path, block, file_bytes, at_least):
     assert warc.candidates(spark, path, block).where("page_id = 777").count() > 0
 
 
+def test_warc_long_urls_and_whole_chains(spark, tmp_path):
+    urls = {1: "http://a.org/x", 2: "http://a.org/" + " " * 500_000, 3: "http://a.org/" + "y" * 1_500_000, 4: "http://a.org/z", 5: None}
+    df = spark.createDataFrame([(k, u, f"<p>{k}</p>") for k, u in urls.items()], PAGES).coalesce(1)
+    got = {r["page_id"]: r["url"] for r in warc.archived(df).collect()}
+    assert got == {k: u and u.replace(" ", "%20") for k, u in urls.items()}
+    good = warc.record(1, "u", b"abc", 3, "X", None, False) + warc.BREAK
+    for name, content in (("middle", good + b"garbage" + good), ("start", b"garbage" + good), ("end", good + good[:-9])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.warc").write_bytes(content)
+        with pytest.raises(ValueError, match="breaks off"):
+            warc.read_archives(spark, f"file://{tmp_path}/{name}", whole=True)
+
+
 def test_warc_broken_chain_and_empty(spark, tmp_path):
     good = warc.record(1, "u", b"abc", 3, "X", None, False) + warc.BREAK
     (tmp_path / "b").mkdir()
