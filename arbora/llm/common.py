@@ -12,28 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of an Arrow batch handed to Python, and rows of it at most: bounds a worker's memory.
-ARROW_ROWS = "1000"
+#: Rows and bytes of an Arrow batch handed to Python at most (a longer text has a batch of its own): bounds a worker's memory.
+ARROW_ROWS, ARROW_BYTES = "1000", "8m"
 
 _folders: dict[str, str] = {}
 
-#: What a Python worker keeps from task to task; a pass of another kind lets it go first.
-kept_by_worker: dict[str, object] = {}
-
 
 def session_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); set here only where the session has none."""
+    """A folder of this application in the one all executors share (spark.checkpoint.dir).
+
+    Without that setting, a session on one machine uses its warehouse; on a cluster it is an error, since no
+    local folder would do.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = known.get() if known.isDefined() else None
-    if not root:  # a local test session
-        root = "file:///tmp/arbora-checkpoints"
-        spark.sparkContext.setCheckpointDir(root)
+    if not root:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/arbora-checkpoints"
     app = spark.sparkContext.applicationId
     if app not in _folders:
         _folders[app] = f"{root.rstrip('/')}/arbora-{app}-{uuid.uuid4().hex[:8]}"
@@ -78,9 +80,14 @@ def dropped(df: DataFrame) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Texts may be long: hands Python fewer rows at once unless the session chose a number itself."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    """Texts may be long: hands Python fewer rows and bytes at once, unless the session chose numbers itself.
+
+    The settings stay with the session, since a plan reads them when it runs.
+    """
+    for name, size in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key) in ("10000", "64MB", "67108864b"):  # as Spark sets them
+            spark.conf.set(key, size)
 
 
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
@@ -99,7 +106,6 @@ def arrow_pass(
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_by_worker.clear()
         for batch in batches:
             if batch.num_rows and (made := work(batch)) is not None:
                 yield pa.RecordBatch.from_arrays([as_array(made[f.name], f.type) for f in arrow], schema=arrow)
@@ -126,7 +132,6 @@ def with_columns_pass(
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_by_worker.clear()
         for batch in batches:
             made = work(text_bytes(batch.column(at)))
             arrays = [*batch.columns, *(as_array(made[f.name], f.type) for f in arrow)]
@@ -196,7 +201,3 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-
-def chunks(items: list, size: int) -> Iterable[list]:
-    for at in range(0, len(items), size):
-        yield items[at : at + size]

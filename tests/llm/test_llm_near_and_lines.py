@@ -114,28 +114,20 @@ def test_near_duplicates_empty_and_keep_one(spark):
 
 
 def brute_lines(rows, min_words):
-    """Lines deleted per (id, text), by definition: all windows, their first places, extension line by line."""
-    docs = sorted({(i is None, i or 0, t or "") for i, t in rows}, key=lambda x: (x[0], x[1], x[2]))
-    lines = {d: [(k, x.strip(" \t\n\r\x0b\x0c"), len(x.split())) for k, x in enumerate(d[2].split("\n")) if x.split()] for d in docs}
-    places = defaultdict(list)
+    """Lines deleted per (id, text), by definition: any run of min_words words whose lines stand anywhere earlier."""
+    docs = sorted({(i is None, i or 0, t or "") for i, t in rows}, key=lambda d: (d[0], d[1], xxhash.xxh64_intdigest(d[2].encode())))
+    seen, gone = set(), defaultdict(set)
     for d in docs:
-        for i in range(len(lines[d])):
-            n = 0
-            for e in range(i, len(lines[d])):
-                n += lines[d][e][2]
-                if n >= min_words:
-                    places[tuple(x[1] for x in lines[d][i : e + 1])].append((d, i, e + 1))
-                    break
-    gone = defaultdict(set)
-    for found in places.values():
-        (src, a, _), *later = found
-        for d, i, e in later:
-            lo, hi, off = i, e, a - i
-            while lo > 0 and lo + off > 0 and lines[d][lo - 1][1] == lines[src][lo + off - 1][1]:
-                lo -= 1
-            while hi < len(lines[d]) and hi + off < len(lines[src]) and lines[d][hi][1] == lines[src][hi + off][1]:
-                hi += 1
-            gone[d] |= {lines[d][k][0] for k in range(lo, hi)}
+        lines = [(k, x.strip(" \t\n\r\x0b\x0c"), len(x.split())) for k, x in enumerate(d[2].split("\n")) if x.split()]
+        for i in range(len(lines)):
+            fresh = set()
+            for e in range(i + 1, len(lines) + 1):
+                if sum(x[2] for x in lines[i:e]) >= min_words:
+                    run = tuple(x[1] for x in lines[i:e])
+                    if run in seen:
+                        gone[d] |= {x[0] for x in lines[i:e]}
+                    fresh.add(run)
+            seen |= fresh
     return gone
 
 
@@ -157,6 +149,32 @@ def test_line_dedup(spark):
         assert got[i]["n_lines"] == (t or "").count("\n") + 1
 
 
+def test_line_windows_select_few_positions():
+    """Every window's minimum is selected, and neighbouring windows share theirs."""
+    rng = np.random.default_rng(1)
+    code, words = rng.integers(0, 2**63, 400).astype(np.uint64), rng.integers(1, 12, 400).astype(np.int32)
+    found = line_dedup.selected(code, words, 50)
+    spans = line_dedup.windows(words, 50)
+    assert sorted((a, a + n) for around in found.values() for _, a, n in around) == spans and len(found) < len(spans) / 3
+    for a, b in spans:
+        assert words[a:b].sum() >= 50 and (words[a + 1 : b].sum() < 50 or words[a : b - 1].sum() < 50)
+    for at, around in found.items():
+        assert all(code[at] == code[a : a + n].min() and a <= at < a + n for _, a, n in around)
+
+
+def test_later_run_goes_whole(spark):
+    """Only a later document holds the longer version of a run, and a tail beyond the shared windows."""
+    line = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    x, y, z = line("x", 60), line("y", 10), line("z", 5)
+    l1, l2, m = line("p", 30), line("q", 30), line("m", 10)
+    rows = [(1, x), (2, f"{x}\n{y}\n{z}"), (3, f"own\n{x}\n\n{y}\n{z}"), (11, f"{l1}\n{l2}"), (12, f"{l1}\n{l2}\n{m}\nx"), (13, f"{l1}\n{l2}\n{m}\ny")]
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r["id"]: r["removed"] for r in line_dedup.repeated_lines(df).collect()}
+    assert got == {1: [], 2: [0], 3: [1, 3, 4], 11: [], 12: [0, 1], 13: [0, 1, 2]}
+    runs = {tuple(r) for r in line_dedup.repeated_runs(df).collect()}
+    assert {(2, 0, 0, 1, 0), (12, 0, 1, 11, 0)} <= runs and any(r[0] == 3 and r[2] == 4 and r[3] == 2 for r in runs)
+
+
 def test_line_dedup_texts(spark):
     run = "\n".join(f"line {k} with several words in it" for k in range(9))
     rows = [(1, f"own one\n{run}\nend"), (2, f"{run}\nown two"), (None, run), (3, "short line"), (4, "short line"), (4, "short line")]
