@@ -7,7 +7,9 @@ constant-time lookup without decoding a block.
 
 A file image (one row of the store's table) is a run of whole documents in ascending id order:
 magic, counts, document bounds, then per level its size, chunks, bitmap and directory. Images are written
-as rows of Parquet in the shared folder by Spark's own committer, so a lost task leaves nothing behind.
+as rows of Parquet in the shared folder by Spark's own committer, so a lost task leaves nothing behind. They
+are not compressed, have a row group each, and at most FILE_IMAGES share a file, so a lookup reads the
+slim columns and, of the files it needs, the images it needs.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,14 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, kept_by_worker, new_path, text_bytes
+from .common import bounded_batches, new_path, written
 
 MAGIC = b"ARBDAC01"
 CHUNK, RANK = 8, 512
 #: Tokens of a file image aimed at; a longer document has an image of its own.
 IMAGE_TOKENS = 1 << 20
-#: Text pieces whose ids a worker remembers; others are encoded again.
-REMEMBERED = 800_000
+FILE_IMAGES = 64
+#: A row group ends after the first image that brings it to so many bytes.
+GROUP_BYTES = 1 << 16
+#: Files that a lookup names to the reader; one that needs more reads the index of all.
+NAMED_FILES = 1000
+#: Text pieces, and words of them, whose ids a task remembers (some 100 bytes each); then it begins anew.
+REMEMBERED = 200_000
 END_ID = 0
 
 
@@ -158,21 +165,35 @@ class OddSpace(Exception):
     """A piece holds white space other than spaces and line ends."""
 
 
-class Pieces(dict):
-    """Text piece -> its ids as little-endian bytes; bounded.
+class Bounded(dict):
+    """Remembered results of a function; emptied when full."""
 
-    A piece is a run of spaces and line ends with what follows up to the next. The pre-tokenizer of a
-    byte-level BPE never joins a token over such a border, so pieces encode on their own. Pieces that are
-    one word of Latin letters go straight to the library's model; all others to its full encode. A text
-    with any other white space is encoded whole.
+    def __init__(self, made: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.made = made
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.made(key)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[key] = out
+        return out
+
+
+class Pieces:
+    """Ids of texts as little-endian bytes, piece by piece.
+
+    The pre-tokenizer of a byte-level BPE never joins a token over the border before a run of spaces and line
+    ends, so such pieces encode on their own. Words of Latin letters with the signs after them go straight to the
+    library's model, word by word; all others to its full encode. Texts whose spaces and line ends stand alone
+    are cut at spaces, others by a pattern, and a text with any other white space is encoded whole.
     """
 
     cut = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
     odd = re.compile(r"[^\S \n]")
-    word = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]?)\\Z")
+    word = re.compile("(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([^\\w\\s']*)\\Z")
 
     def __init__(self, file: str) -> None:
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
@@ -182,45 +203,38 @@ class Pieces(dict):
         self.code = "H" if self.kind == "<u2" else "I"
         self.letters = bytes_as_letters()
         self.model = self.tokenizer.model
+        self.words = Bounded(self.of)
+        self.exact = Bounded(self.piece)
+        #: Keys lack the space before them, unless a line end comes first.
+        self.spaced = Bounded(lambda x: self.piece(x if x[:1] == "\n" else " " + x))
 
     def whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
+    def piece(self, piece: str) -> bytes:
         if self.odd.search(piece):
             raise OddSpace
         if found := self.word.match(piece):
-            space, word, mark = found.groups()
-            ids = self.of(space + word)
-            out = array(self.code, ids + self.of(mark) if mark else ids).tobytes()
-        else:
-            out = self.whole(piece)
-        if len(self) < REMEMBERED:
-            self[piece] = out
-        return out
+            return b"".join(self.words[x] for x in found.groups() if x)
+        return self.whole(piece)
 
-    def of(self, word: str) -> list[int]:
-        mapped = word.replace(" ", "Ġ") if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return [t.id for t in self.model.tokenize(mapped)]
+    def of(self, word: str) -> bytes:
+        mapped = word.replace(" ", "Ġ") if word.isascii() and "\n" not in word else word.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def ids(self, text: str) -> bytes:
         """All ids of a text as the library's encode gives them."""
         if not self.plain:
             return self.whole(text)
         try:
-            return b"".join(map(self.__getitem__, self.cut.findall(text)))
+            if "  " in text or "\n\n" in text or " \n" in text:
+                return b"".join(map(self.exact.__getitem__, self.cut.findall(text)))
+            first, *rest = text.replace("\n", " \n").split(" ")
+            return (self.exact[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
         except OddSpace:
             return self.whole(text)
 
 
-def pieces_of(file: str) -> Pieces:
-    """A worker's pieces for a vocabulary file, kept from task to task."""
-    if file not in kept_by_worker:
-        kept_by_worker.clear()
-        kept_by_worker[file] = Pieces(file)
-    return kept_by_worker[file]
-
-
 def bytes_as_letters() -> dict[int, str]:
     """The byte-level alphabet: bytes that do not print stand for characters from 256 on."""
     prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -232,10 +246,13 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
     """Writes docs in ascending id order (null ids first, repeated ids side by side) as file images under path.
 
     Each row is one image: part and seq order the images, n_tokens counts their ids. Null text is empty:
-    its document is the end id alone. Texts are range-partitioned before they are encoded, once.
+    its document is the end id alone. Ids are longs; one that is no whole number is an error. No documents write
+    no image. Texts are range-partitioned before they are encoded, once.
     """
     bounded_batches(docs.sparkSession)
-    named = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    whole = F.col(id_col).cast("long")
+    known = F.when(F.col(id_col).isNotNull() & (whole.isNull() | (whole.cast("string") != F.col(id_col).cast("string"))), F.raise_error(F.lit("a document's id is no whole number"))).otherwise(whole)
+    named = docs.select(known.cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
     placed = named.repartitionByRange(*order).sortWithinPartitions(*order)
 
@@ -243,7 +260,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        pieces = pieces_of(tokenizer)
+        pieces = Pieces(tokenizer)
         kind = np.dtype(pieces.kind)
         end = np.array([end_id], kind).tobytes()
         doc_ids: list[int | None] = []
@@ -272,7 +289,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
         if doc_ids:
             yield image()
 
-    placed.mapInArrow(encode, "part int, seq int, n_tokens long, n_docs long, image binary").write.parquet(path)
+    made = placed.mapInArrow(encode, "part int, seq int, n_tokens long, n_docs long, image binary")
+    a_row_group_each = {"parquet.block.size": GROUP_BYTES, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1}
+    made.write.options(compression="uncompressed", maxRecordsPerFile=FILE_IMAGES, **a_row_group_each).parquet(path)
 
 
 def read_store(docs_from: DataFrame) -> DataFrame:
@@ -300,20 +319,31 @@ def read_store(docs_from: DataFrame) -> DataFrame:
     return found.join(starts, ["part", "seq"]).select("doc_id", (F.col("first") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def tokens_at(store: DataFrame, positions: DataFrame) -> DataFrame:
-    """(position, token) for a table of corpus positions: each is one lookup in its image, no block is decoded.
-
-    Positions outside the corpus, and null ones, have no row.
-    """
-    slim = store.select("part", "seq", "n_tokens")
+def image_spans(store: DataFrame) -> DataFrame:
+    """(part, seq, n_tokens, first, file): where each image begins in the corpus; reads no image."""
+    slim = store.select("part", "seq", "n_tokens", F.col("_metadata.file_path").alias("file"))
     images = slim.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     ahead = images.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    spans = slim.join(ahead, "part").withColumn("first", F.col("ahead") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+    return slim.join(ahead, "part").select("part", "seq", "n_tokens", (F.col("ahead") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("first"), "file")
+
+
+def images_wanted(store: DataFrame, positions: DataFrame) -> DataFrame:
+    """(part, seq, file, wanted): the images that hold the positions, with their places in each; written."""
     step = F.lit(IMAGE_TOKENS)
-    cells = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("first") / step), F.floor((F.col("first") + F.col("n_tokens") - 1) / step))))
-    wanted = positions.select("position").where("position is not null").withColumn("cell", F.floor(F.col("position") / step)).join(cells, "cell").where("position >= first and position < first + n_tokens")
-    per = wanted.groupBy("part", "seq").agg(F.collect_list(F.struct("position", (F.col("position") - F.col("first")).alias("at"))).alias("wanted"))
+    cells = image_spans(store).withColumn("cell", F.explode(F.sequence(F.floor(F.col("first") / step), F.floor((F.col("first") + F.col("n_tokens") - 1) / step))))
+    met = positions.select("position").where("position is not null").withColumn("cell", F.floor(F.col("position") / step)).join(cells, "cell").where("position >= first and position < first + n_tokens")
+    return written(met.groupBy("part", "seq", "file").agg(F.collect_list(F.struct("position", (F.col("position") - F.col("first")).alias("at"))).alias("wanted")), "tokens-wanted")
+
+
+def tokens_at(store: DataFrame, positions: DataFrame) -> DataFrame:
+    """(position, token) for a table of corpus positions: each is one lookup in its image, no block is decoded.
+
+    store is read from the files of write_store. Positions outside the corpus, and null ones, have no row.
+    """
+    per = images_wanted(store, positions)
+    files = [r["file"] for r in per.select("file").distinct().limit(NAMED_FILES + 1).collect()]
+    named = store.where(F.col("_metadata.file_path").isin(files)) if len(files) <= NAMED_FILES else store
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,7 +351,7 @@ def tokens_at(store: DataFrame, positions: DataFrame) -> DataFrame:
                 image = from_image(raw, checked=False)
                 yield pa.RecordBatch.from_arrays([pa.array([w["position"] for w in wanted_], pa.int64()), pa.array([image.token(w["at"]) for w in wanted_], pa.int64())], names=["position", "token"])
 
-    return store.join(per, ["part", "seq"]).select("image", "wanted").mapInArrow(look, "position long, token long")
+    return named.join(per.drop("file"), ["part", "seq"]).select("image", "wanted").mapInArrow(look, "position long, token long")
 
 
 def stored(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

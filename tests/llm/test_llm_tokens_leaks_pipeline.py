@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arbora.llm import decontaminate, queries, token_store
 
@@ -78,8 +79,38 @@ def test_store_round_trip(spark, tmp_path):
     assert got == {p: flat[p] for p in [*range(0, total, 97), total - 1]}
 
 
+def test_lookup_reads_few_images(spark, tmp_path, monkeypatch):
+    """k positions read k images at most, of k files at most; the others stay unread."""
+    monkeypatch.setattr(token_store, "FILE_IMAGES", 2)
+    monkeypatch.setattr(token_store, "GROUP_BYTES", 256)
+    df = spark.createDataFrame([(i, f"word{i} " * 200) for i in range(60)], DOCS).coalesce(1)
+    path = f"file://{tmp_path}/s"
+    token_store.write_store(df, path, queries.tokenizer_file(), image_tokens=900)
+    store = spark.read.parquet(path)
+    images = store.count()
+    assert images >= 30 and len(store.inputFiles()) >= images / 2
+    for k in (1, 3):
+        wanted = spark.createDataFrame([(p * 5000 + 17,) for p in range(k)], "position long")
+        assert token_store.images_wanted(store, wanted).count() == k
+        found = token_store.tokens_at(store, wanted)
+        assert found.count() == k
+        scan = next(x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in x and "image#" in x)
+        assert "file_path" in scan
+    sizes = [r["total_compressed_size"] for f in store.inputFiles() for r in row_groups(f)]
+    assert len(sizes) == images
+
+
+def row_groups(file):
+    import pyarrow.parquet as pq
+
+    meta = pq.ParquetFile(file.removeprefix("file://")).metadata
+    return [{"total_compressed_size": meta.row_group(k).total_byte_size} for k in range(meta.num_row_groups)]
+
+
 def test_store_repeated_ids_and_empty(spark):
-    df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b c"), (0, "z")], DOCS)
+    df = spark.createDataFrame([(1, "a", 5), (1, "a", 6), (1, "b c", 7), (0, "z", 8)], DOCS + ", part int").withColumn("seq", F.lit(1)).withColumn("image", F.lit("x"))
+    with pytest.raises(Exception, match="no whole number"):
+        token_store.stored(spark.createDataFrame([("x1", "a")], "doc_id string, text string"), queries.tokenizer_file())
     got = sorted(map(tuple, token_store.stored(df, queries.tokenizer_file()).collect()), key=lambda r: r[1])
     assert [r[0] for r in got] == [0, 1, 1, 1] and [r[1] for r in got] == np.cumsum([0, *(r[2] for r in got[:-1])]).tolist()
     assert token_store.stored(df.limit(0), queries.tokenizer_file()).count() == 0
