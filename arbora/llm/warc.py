@@ -1,14 +1,18 @@
 """WARC archives: written with revisit records, read back by boundary-chain verification.
 
-A record's header names its length, and so where its successor starts. Reading tasks look for the
-magic in blocks of an archive and emit each candidate with its successor's offset; a magic inside
-a payload makes a candidate too. Pointer jumping from offset 0 of each file finds the offsets at which
-the true chain enters each block; only candidates on the way from such an entry are records.
+A record's header names its length, and so where its successor starts. Archives are read in blocks, many a file
+and each by a task of its own that sees no other block: Spark's text reader cuts files at line ends, and a line
+end here is the break and magic between records. So every line is a candidate record, inside payloads too. A
+task knows offsets only from its block's first line on; the lengths of the blocks before it, summed along the file,
+make them offsets of the file. Each candidate names its successor's offset. Pointer jumping from offset 0 of each
+file finds the offsets at which the true chain enters each block; only candidates on the way from such an entry
+are records.
 
 Within a block the task has already followed the chains: a candidate's parent is its successor, and
 the numbers (tin, tout) of a walk through that forest tell whether a candidate lies on the way
 from an entry. So pointer jumping handles one offset a block, in a number of rounds that grows with the
-logarithm of the blocks of a file.
+logarithm of the blocks of a file. A record that goes on in another block is put together again from its
+lines, once it is known to be one.
 """
 
 from __future__ import annotations
@@ -20,15 +24,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, dropped, new_path, text_bytes, written
 
 MAGIC, BREAK = b"WARC/1.", b"\r\n\r\n"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-#: Bytes of an archive file aimed at, and of the blocks in which candidates are chained.
-FILE_BYTES, BLOCK = 32 << 20, 1 << 20
+#: What parts one candidate from the next.
+PARTED = BREAK + MAGIC
+#: Bytes of an archive file aimed at. Blocks of it are as long as Spark's spark.sql.files.maxPartitionBytes.
+FILE_BYTES = 32 << 20
 #: Pages whose heads payloads on their way are compressed against.
 SHARED_PAGES = 128
 DATE = "2024-01-01T00:00:00Z"
@@ -101,11 +107,13 @@ def write_archives(pages: DataFrame, path: str, at_least: int = 0, file_bytes: i
     records.write.option("lineSep", BREAK.decode()).option("maxRecordsPerFile", each).text(path)
 
 
-def header_of(content: bytes, at: int) -> tuple[dict[bytes, bytes], int, int] | None:
-    """(fields, start of the block, length of the block) of a record that starts at `at`; None if none can."""
-    if not _VERSION.match(content, at) or (end := content.find(BREAK, at)) < 0:
+def header_of(content: bytes) -> tuple[dict[bytes, bytes], int, int] | None:
+    """(fields, start of the block, length of the block) of a record; None if content does not start as one."""
+    if not _VERSION.match(content):
         return None
-    lines = content[at:end].split(b"\r\n")
+    end = content.find(BREAK)
+    end = len(content) if end < 0 else end  # the break is then part of what parts it from the next candidate
+    lines = content[:end].split(b"\r\n")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in lines[1:])}
     length = fields.get(b"content-length", b"")
     return (fields, end + 4, int(length)) if re.fullmatch(rb"\d{1,18}", length) else None
@@ -134,49 +142,91 @@ def chained(offsets: list[int], successors: list[int]) -> list[tuple[int, int, i
     return [tuple(x) for x in out]
 
 
-_SCHEMA = "file string, block long, off long, succ long, exit long, tin long, tout long, page_id long, payload_bytes long, payload_digest string, stated_digest string, record_type string, refers_to long, url string"
+_TOLD = "page_id long, payload_bytes long, payload_digest string, stated_digest string, record_type string, refers_to long, url string"
+_SCHEMA = f"file string, block long, off long, succ long, exit long, tin long, tout long, whole boolean, {_TOLD}"
+_KINDS = [pa.string(), *[pa.int64()] * 6, pa.bool_(), *[pa.int64()] * 2, *[pa.string()] * 3, pa.int64(), pa.string()]
+_IDENT = re.compile(rb"<urn:page:(-?\d+)>")
+
+
+def candidate_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, line): the archives cut before each magic that follows a break; block is where a task's part starts."""
+    read = spark.read.option("lineSep", PARTED.decode()).option("recursiveFileLookup", "true").text(path)
+    return read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line"))
+
+
+class Block:
+    """What a task has met of one block of a file: candidates, and those that want more bytes than their line has."""
+
+    def __init__(self, file: str, start: int) -> None:
+        self.file, self.start, self.at, self.rows, self.open = file, start, 0, [], []
+
+    def meet(self, line: bytes) -> None:
+        """The next line, at self.at after the first line of the block; its magic stands before it, but for a file's first."""
+        first = self.start == 0 and self.at == 0
+        content, off = (line, 0) if first else (MAGIC + line, self.at - len(MAGIC))
+        self.at += len(line) + len(PARTED)
+        for held in self.open:
+            held[2].append(content)
+            held[3] += len(content) + len(BREAK)
+        if found := header_of(content):
+            fields, start, length = found
+            self.open.append([off, off + start + length + len(BREAK), [content], len(content) - start, fields, start, length])
+        still = []
+        for held in self.open:
+            have, length = held[3], held[6]
+            if have < length:
+                still.append(held)
+                continue
+            record_ = BREAK.join(held[2])
+            body, rest = record_[held[5] : held[5] + length], record_[held[5] + length :]
+            if not rest or rest[:4] == BREAK:  # parted from the next candidate, or at the end of the file
+                self.rows.append((held[0], held[1], True, *_told(held[4], body)))
+        self.open = still
+
+    def done(self) -> list[tuple]:
+        """Rows of _SCHEMA: the candidates by offset, and one without offset whose successor is the bytes of the lines."""
+        rows = self.rows + [(h[0], h[1], False, *_told(h[4], b"")) for h in self.open]
+        rows.sort(key=lambda r: r[0])
+        walks = chained([r[0] for r in rows], [r[1] for r in rows])
+        out = [(self.file, self.start, r[0], r[1], *walk, *r[2:]) for r, walk in zip(rows, walks, strict=True)]
+        return [*out, (self.file, self.start, None, self.at, *[None] * 11)]
+
+
+def candidates(spark: SparkSession, path: str) -> DataFrame:
+    """Every place of the archives that reads as a record's start, with what its header and block say.
+
+    Offsets count from the first line of the block. A candidate that goes on beyond the last line of its block is
+    not whole; its payload is not looked at.
+    """
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: Block | None = None
 
-def candidates(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """Every place of the archives that reads as a record's start, with what its header and block say."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    ident = re.compile(rb"<urn:page:(-?\d+)>")
+        def told(block: Block) -> pa.RecordBatch:
+            columns = zip(*block.done(), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS, strict=True)], names=[x.split()[0] for x in _SCHEMA.split(", ")])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(b.num_rows):
-                name, content = b.column(0)[k].as_py(), b.column(1)[k].as_py()
-                size = len(content)
-                rows: list[tuple] = []
-                part: list[tuple] = []
-                number = 0
-
-                def close(part: list[tuple], number: int, rows: list[tuple]) -> None:
-                    for c, walk in zip(part, chained([c[0] for c in part], [c[1] for c in part]), strict=True):
-                        rows.append((number, c[0], c[1], *walk, *c[2:]))
-
-                at = content.find(MAGIC)
-                while at >= 0:
-                    if at // block != number:
-                        close(part, number, rows)
-                        part, number = [], at // block
-                    if found := header_of(content, at):
-                        fields, start, length = found
-                        succ = start + length + len(BREAK)
-                        if succ <= size and content[start + length : succ] == BREAK:
-                            part.append((at, succ, *_told(fields, content[start : start + length], ident)))
-                    at = content.find(MAGIC, at + 1)
-                close(part, number, rows)
-                if rows:
-                    columns = list(zip(*rows, strict=True))
-                    kinds = [pa.int64()] * 8 + [pa.string()] * 3 + [pa.int64(), pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=[x.split()[0] for x in _SCHEMA.split(", ")])
-
-    return files.mapInArrow(scan, _SCHEMA)
-
-
-def _told(fields: dict[bytes, bytes], body: bytes, ident: re.Pattern) -> tuple:
-    page, refers = ident.match(fields.get(b"warc-record-id", b"")), ident.match(fields.get(b"warc-refers-to", b""))
+            for file, start, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if block is None or (block.file, block.start) != (file, start):
+                    if block is not None:
+                        yield told(block)
+                    block = Block(file, start)
+                block.meet(line.as_py())
+        if block is not None:
+            yield told(block)
+
+    return candidate_lines(spark, path).mapInArrow(scan, _SCHEMA)
+
+
+def block_bases(found: DataFrame) -> DataFrame:
+    """(f, b, base): the offset in its file of each block's first line, a prefix sum over the blocks of a file."""
+    along = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return found.where("off is null").select(F.col("file").alias("f"), F.col("block").alias("b"), F.coalesce(F.sum("succ").over(along), F.lit(0)).alias("base"))
+
+
+def _told(fields: dict[bytes, bytes], body: bytes) -> tuple:
+    page, refers = _IDENT.match(fields.get(b"warc-record-id", b"")), _IDENT.match(fields.get(b"warc-refers-to", b""))
     kind = fields.get(b"warc-type", b"").decode("ascii", "replace")
     stated = fields.get(b"warc-payload-digest", b"").decode("ascii", "replace").removeprefix("sha1:")
     head, _, payload = body.partition(BREAK)
@@ -189,16 +239,60 @@ def _told(fields: dict[bytes, bytes], body: bytes, ident: re.Pattern) -> tuple:
     return (int(page[1]) if page else None, size, digest, stated, kind, int(refers[1]) if refers else None, url.decode("utf-8", "replace") if url is not None else None)
 
 
-def read_archives(spark: SparkSession, path: str, block: int = BLOCK, whole: bool = False) -> DataFrame:
+def _put_together(spark: SparkSession, path: str, parted: DataFrame, bases: DataFrame) -> DataFrame:
+    """(file, off, what _told says): records that lie in more than one block, from all their lines in order."""
+    wide = parted.select(F.col("file").alias("pf"), F.col("off").alias("po"), "succ")
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, at = None, 0
+        for b in batches:
+            keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            spots = []
+            for key, line in zip(keys, b.column(2), strict=True):
+                at = 0 if key != seen else at
+                seen = key
+                spots.append(at)
+                at += len(line.as_buffer()) + len(PARTED)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spots, pa.int64())], names=["file", "block", "line", "at"])
+
+    met = candidate_lines(spark, path).mapInArrow(placed, "file string, block long, line binary, at long").join(bases, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
+    start = F.col("base") + F.col("at")
+    off = F.when(start == 0, start).otherwise(start - len(MAGIC))
+    held = met.select("file", off.alias("off"), "line").join(wide, (F.col("file") == F.col("pf")) & (F.col("off") >= F.col("po")) & (F.col("off") < F.col("succ")))
+    packed = held.groupBy("pf", "po").agg(F.sort_array(F.collect_list(F.struct("off", "line"))).alias("lines"))  # one record's own bytes
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for file, off_, lines_ in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                content = BREAK.join(x["line"] if x["off"] == 0 else MAGIC + x["line"] for x in lines_)
+                fields, at, length = header_of(content)
+                rest = content[at + length :]
+                if len(content) < at + length or (rest and rest[:4] != BREAK):
+                    raise ValueError(f"the record at {off_} of {file} does not end where its header says")
+                rows.append((file, off_, *_told(fields, content[at : at + length])))
+            kinds = [pa.string(), pa.int64(), *_KINDS[8:]]
+            names = ["file", "off", *(x.split()[0] for x in _TOLD.split(", "))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return packed.mapInArrow(tell, f"file string, off long, {_TOLD}")
+
+
+def read_archives(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """The true records of all archives under path: candidates that the chain from each file's start reaches.
 
     A chain that breaks off hides the rest of its file; with whole, that is an error.
     """
-    found = written(candidates(spark, path, block), "warc-candidates")
-    edges = found.select("file", "off", "exit").distinct()
+    bounded_batches(spark)
+    found = written(candidates(spark, path), "warc-candidates")
+    bases = written(block_bases(found), "warc-blocks")
+    based = found.where("off is not null").join(bases, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b"))).drop("f", "b")
+    based = based.select("file", "block", *((F.col(c) + F.col("base")).alias(c) for c in ("off", "succ", "exit")), "tin", "tout", "whole", *(x.split()[0] for x in _TOLD.split(", ")))
+    chain = written(based.select("file", "block", "off", "exit", "tin"), "warc-chain")
+    edges = chain.select("file", "off", "exit").distinct()
     zero = edges.where("off = 0").select("file", F.col("off").alias("at"))
     # only offsets where some chain leaves a block, or a file starts, can be entries
-    aims = found.select("file", F.col("exit").alias("off")).unionByName(found.where("off = 0").select("file", "off")).distinct()
+    aims = chain.select("file", F.col("exit").alias("off")).unionByName(chain.where("off = 0").select("file", "off")).distinct()
     jump = written(edges.join(aims, ["file", "off"], "left_semi"), "warc-jumps")
     reach = written(zero, "warc-reach")
     count = reach.count()
@@ -219,9 +313,14 @@ def read_archives(spark: SparkSession, path: str, block: int = BLOCK, whole: boo
         sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select(F.col("path").alias("file"), F.col("length").alias("at"))
         if broken := sizes.join(reach, ["file", "at"], "left_anti").limit(3).collect():
             raise ValueError(f"the chain of records breaks off before the end of {', '.join(r['file'] for r in broken)}")
-    entries = reach.join(found.select("file", "block", "off", F.col("tin").alias("entry")), (reach["file"] == found["file"]) & (reach["at"] == found["off"])).select(found["file"].alias("f"), F.col("block").alias("b"), "entry").distinct()
-    kept = found.join(entries, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")) & (F.col("tin") <= F.col("entry")) & (F.col("tout") >= F.col("entry")))
-    return kept.select("file", "off", "succ", "page_id", "url", "payload_bytes", "payload_digest", "stated_digest", "record_type", "refers_to")
+    entries = reach.join(chain.select("file", "block", "off", F.col("tin").alias("entry")), (reach["file"] == chain["file"]) & (reach["at"] == chain["off"])).select(chain["file"].alias("f"), F.col("block").alias("b"), "entry").distinct()
+    kept = based.join(entries, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")) & (F.col("tin") <= F.col("entry")) & (F.col("tout") >= F.col("entry")))
+    columns = ["file", "off", "succ", "page_id", "url", "payload_bytes", "payload_digest", "stated_digest", "record_type", "refers_to"]
+    parted = written(kept.where("not whole").select("file", "off", "succ"), "warc-parted")
+    inside = kept.where("whole").select(*columns)
+    if parted.isEmpty():
+        return inside
+    return inside.unionByName(_put_together(spark, path, parted, bases).join(parted, ["file", "off"]).select(*columns))
 
 
 def archived(pages: DataFrame, at_least: int = 0) -> DataFrame:

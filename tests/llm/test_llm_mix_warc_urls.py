@@ -89,18 +89,26 @@ def brute_pages(rows, at_least):
     return sorted(map(repr, out))
 
 
-@pytest.mark.parametrize(("block", "file_bytes", "at_least"), [(1 << 20, 1 << 20, 0), (700, 3000, 0), (97, 900, 20)])
+@pytest.mark.parametrize(("block", "file_bytes", "at_least"), [(1 << 20, 1 << 20, 0), (2500, 1 << 20, 20)])
 def test_warc_round_trip(spark, tmp_path, block, file_bytes, at_least):
     rows = page_rows()
-    df = spark.createDataFrame(rows, PAGES).repartition(3)
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], PAGES + ", off long, digest string").repartition(3)
     path = f"file://{tmp_path}/w"
     warc.write_archives(df, path, at_least, file_bytes)
-    got = warc.read_archives(spark, path, block)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        blocks = warc.candidates(spark, path).where("off is null").groupBy("file").count().collect()
+        got = spark.createDataFrame(warc.read_archives(spark, path).collect(), "file string, off long, succ long, page_id long, url string, payload_bytes long, payload_digest string, stated_digest string, record_type string, refers_to long")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    # small blocks cut each file into many tasks' parts
+    assert block > 1 << 19 or max(r["count"] for r in blocks) > 3
     cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     assert sorted(repr(tuple(r)) for r in got.select(*cols).collect()) == brute_pages(rows, at_least)
     assert got.where("record_type = 'response' and payload_digest <> stated_digest").count() == 0
     # the candidates hold the false records that the chain rejects
-    assert warc.candidates(spark, path, block).where("page_id = 777").count() > 0
+    assert warc.candidates(spark, path).where("page_id = 777").count() > 0
 
 
 def test_warc_long_urls_and_whole_chains(spark, tmp_path):
