@@ -12,12 +12,16 @@ pass looks the seeds up in each document; passages with hits enough are aligned
 (match 2, mismatch -1, gap -1). A passage whose score reaches min_score of the item's best possible
 score, with its words edited, dropped or added, is a leak.
 
-Test items are handled in blocks of at most ITEMS, each with its own two passes, so what a task holds is
-bounded however long the list; hits of one passage are merged before alignment.
+Seeds and items meet documents as in a broadcast join: test items are handled in blocks of at most ITEMS items
+and ITEM_BYTES bytes, each with two passes over the documents, so what a task holds is bounded however long the
+list; hits of one passage are merged before alignment. Items of fewer than MIN_WORDS words are looked for as they
+are, all their words in a row; a shorter part of them says nothing. Scripts without spaces count
+by character.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -28,20 +32,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_pass, text_bytes, with_columns_pass
+from .common import arrow_pass, free_name, text_bytes, whole_number, with_columns_pass
 
 #: Distances between the two words of a gapped 2-gram.
 STEPS = (1, 2)
-#: Share of an item's best alignment score that makes a leak, and words that a shorter item is left out for.
+#: Share of an item's best alignment score that makes a leak, and words under which an item must be there whole.
 MIN_SCORE, MIN_WORDS = 0.5, 8
-ITEMS = 20_000
+ITEMS, ITEM_BYTES = 20_000, 4 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Thai, Lao, Burmese, Khmer, kana, Han.
+_SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _MARKS = b".,;:!?\"'()[]{}*#$%&|<>"
 
 
 def words_of(text: bytes) -> list[bytes]:
     """Lower-cased words, cut at ASCII white space, without marks; a word of marks alone is none."""
-    lower = text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
+    if text.isascii():
+        lower = text.lower()
+    else:
+        said = text.decode("utf-8", "replace").lower()
+        lower = (_SPACELESS.sub(r" \g<0> ", said) if _SPACELESS.search(said) else said).encode()
     return lower.translate(None, _MARKS).split()
 
 
@@ -53,24 +63,26 @@ def codes_of(text: bytes, known: dict[bytes, int]) -> np.ndarray:
 
 @dataclass
 class Items:
-    """A block of test items: word numbers, and a sorted table of their n-grams."""
+    """A block of test items: word numbers, and a sorted table of their n-grams; ids has the short items last."""
 
     ids: list[int]
     words: list[np.ndarray]
+    short: list[np.ndarray]
     known: dict[bytes, int]
     grams: np.ndarray
 
     @classmethod
     def of(cls, rows: list[tuple[int, bytes]], min_words: int = MIN_WORDS) -> Items:
         known: dict[bytes, int] = {}
-        ids, words = [], []
+        words, short = [], []
         for item, text in rows:
-            found = words_of(text)
-            if len(found) >= min_words:
-                ids.append(item)
-                words.append(np.array([known.setdefault(w, len(known) + 1) for w in found], np.int64))
+            if found := words_of(text):
+                part = words if len(found) >= min_words else short
+                part.append((item, np.array([known.setdefault(w, len(known) + 1) for w in found], np.int64)))
+        ids = [i for i, _ in words + short]
+        words, short = [w for _, w in words], [w for _, w in short]
         every = [grams(w)[0] for w in words]
-        return cls(ids, words, known, np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64))
+        return cls(ids, words, short, known, np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64))
 
 
 def grams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,6 +182,21 @@ class Seeds:
         self.bounds = np.append(begins, len(made))
         self.item = np.ascontiguousarray(made[:, 1])
         self.items = items
+        #: Short items by their first word.
+        self.begun: dict[int, list[tuple[int, np.ndarray]]] = {}
+        self.leads = np.zeros(len(items.known) + 1, bool)
+        for k, words in enumerate(items.short, len(items.words)):
+            self.begun.setdefault(int(words[0]), []).append((k, words))
+            self.leads[words[0]] = True
+
+    def whole(self, words: np.ndarray) -> dict[int, int]:
+        """The first place of each short item that is there whole."""
+        out: dict[int, int] = {}
+        for at in np.flatnonzero(self.leads[words]).tolist() if self.begun else []:
+            for k, goal in self.begun[int(words[at])]:
+                if k not in out and len(words) >= at + len(goal) and (words[at : at + len(goal)] == goal).all():
+                    out[k] = at
+        return out
 
     def passages(self, words: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """Ranges of a document's words, by item, outside which no alignment of the goal lies."""
@@ -215,18 +242,23 @@ class Seeds:
                         best = (score, a + x, a + y)
             if best[0] >= self.goal[item]:
                 out.append((item, best[0] / most, best[1], best[2]))
+        out += [(k, 1.0, at, at + len(self.items.short[k - len(self.items.words)])) for k, at in self.whole(words).items()]
         return sorted(out)
 
 
 def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = ITEMS) -> Iterator[Items]:
-    """The test items in blocks of at most size, one on the driver at a time; rows without id or text are left out."""
-    rows = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).distinct()
+    """The test items in blocks of at most size and ITEM_BYTES, one on the driver at a time.
+
+    Rows without id or text are left out; an item id that is no whole number is an error.
+    """
+    rows = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(whole_number(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).distinct()
     held: list[tuple[int, bytes]] = []
     for r in rows.toLocalIterator():
-        held.append((r["i"], r["t"].encode()))
-        if len(held) == size:
+        item = (r["i"], r["t"].encode())
+        if held and (len(held) == size or sum(len(t) for _, t in held) + len(item[1]) > ITEM_BYTES):
             yield Items.of(sorted(held))
             held = []
+        held.append(item)
     if held:
         yield Items.of(sorted(held))
 
@@ -235,7 +267,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, i
     """(id, item_id, score, first_word, last_word): the best passage of each item that leaks into a document.
 
     Words count from 0, last_word is the last one's number. Null and empty texts have no leak; repeated rows
-    each have theirs; items under MIN_WORDS words are not looked for; no items give no rows.
+    each have theirs; items under MIN_WORDS words are found whole only; no items give no rows. A clashing column
+    of docs does no harm, as only the id and the text are read.
     """
     schema = T.StructType(
         [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("first_word", T.IntegerType()), T.StructField("last_word", T.IntegerType())]
@@ -262,12 +295,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, i
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, text_col: str = "text") -> DataFrame:
     """docs without the rows into which a test item leaks; columns and other rows stay as they are."""
-    name = "_arbora_leaks"
+    name = free_name(docs, "_leaks")
+    out = docs
     for items in item_blocks(benchmark):
+        # counted over the given documents, so no block's pass runs an earlier one again
         seeds = Seeds(items, document_frequencies(docs, items, text_col), min_score)
 
         def work(texts: list[bytes], seeds: Seeds = seeds) -> dict:
             return {name: [bool(seeds.leaks(x)) for x in texts]}
 
-        docs = with_columns_pass(docs, text_col, T.StructType([T.StructField(name, T.BooleanType())]), work).where(~F.col(name)).drop(name)
-    return docs
+        out = with_columns_pass(out, text_col, T.StructType([T.StructField(name, T.BooleanType())]), work).where(~F.col(name)).drop(name)
+    return out

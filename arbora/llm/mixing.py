@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_pass, text_bytes, written
+from .common import arrow_pass, free_name, text_bytes, written
 
 #: Most copies of a document, and multiple of a source's size, in the mix.
 MOST = 3
@@ -105,8 +105,9 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
     """The mix itself: docs' columns, a row for each copy. Rows with the same id, source and text are interchangeable."""
     sized = written(sizes(docs, id_col, text_col, source_col), "mix-sizes")
     found = copies(sized, targets(sized, weights, most), seed)
-    many = found.select(F.col("id").alias("_arbora_i"), F.col("source").alias("_arbora_s"), F.col("th").alias("_arbora_t"), _crossed(F.lit(0).cast("long"), F.col("n")).alias("_arbora_copies")).where("_arbora_copies > 0")
-    keyed = docs.withColumn("_arbora_th", F.xxhash64(F.coalesce(text_col, F.lit("")))).withColumn("_arbora_source", F.col(source_col).cast("string"))
-    once = keyed.dropDuplicates([id_col, "_arbora_th", "_arbora_source"])
-    met = once.join(many, F.col(id_col).eqNullSafe(F.col("_arbora_i")) & F.col("_arbora_source").eqNullSafe(F.col("_arbora_s")) & (F.col("_arbora_th") == F.col("_arbora_t")))
-    return met.withColumn("_arbora_copy", F.explode(F.expr("sequence(1, _arbora_copies)"))).select(*docs.columns)
+    i, s, t, n, h, o, k = (free_name(docs, f"_{x}") for x in ("i", "s", "t", "copies", "th", "source", "copy"))
+    many = found.select(F.col("id").alias(i), F.col("source").alias(s), F.col("th").alias(t), _crossed(F.lit(0).cast("long"), F.col("n")).alias(n)).where(F.col(n) > 0)
+    keyed = docs.withColumn(h, F.xxhash64(F.coalesce(text_col, F.lit("")))).withColumn(o, F.col(source_col).cast("string"))
+    once = keyed.dropDuplicates([id_col, h, o])
+    met = once.join(many, F.col(id_col).eqNullSafe(F.col(i)) & F.col(o).eqNullSafe(F.col(s)) & (F.col(h) == F.col(t)))
+    return met.withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)

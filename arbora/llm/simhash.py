@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_pass, bounded_batches, dropped, text_bytes, written
+from .common import arrow_pass, bounded_batches, dropped, free_name, text_bytes, written
 from .components import connected_components
 
 WIDTH, RADIUS, PIVOTS = 4, 4, 24
@@ -244,8 +244,9 @@ def near_duplicates(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
     """docs with one row of each near-duplicate group: the smallest id, then the smallest text hash."""
     groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
+    i, t, h = (free_name(docs, f"_{x}") for x in ("i", "t", "th"))
     least = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("w"))
-    winners = least.select(F.col("w.id").alias("_arbora_i"), F.col("w.th").alias("_arbora_t"))
-    named = docs.withColumn("_arbora_th", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    met = named.join(winners, F.col(id_col).eqNullSafe(F.col("_arbora_i")) & (F.col("_arbora_th") == F.col("_arbora_t")), "left_semi")
-    return met.dropDuplicates([id_col, "_arbora_th"]).drop("_arbora_th")
+    winners = least.select(F.col("w.id").alias(i), F.col("w.th").alias(t))
+    named = docs.withColumn(h, F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    met = named.join(winners, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(h) == F.col(t)), "left_semi")
+    return met.dropDuplicates([id_col, h]).drop(h)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_pass, label_counts, labelled_sample, sigmoid, text_bytes, with_columns_pass
+from .common import arrow_pass, free_name, label_counts, labelled_sample, sigmoid, text_bytes, with_columns_pass
 
 BITS = 17
 #: Labelled rows of each class that the fit takes at most.
@@ -244,7 +244,7 @@ def offending_sentences(docs: DataFrame, model: Model, at_least: float = 0.3, id
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """docs without the rows that score threshold or more; columns and other rows stay as they are."""
     weights = TokenWeights(model)
-    name = "_arbora_toxic"
+    name = free_name(docs, "_toxic")
 
     def work(texts: list[bytes]) -> dict:
         return {name: weights.documents(texts)}
