@@ -19,7 +19,7 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, new_path, written
+from .common import bounded_batches, new_path, whole_number, written
 
 MAGIC = b"ARBDAC01"
 CHUNK, RANK = 8, 512
@@ -38,8 +38,9 @@ FILE_IMAGES = 64
 GROUP_BYTES = 1 << 16
 #: Files that a lookup names to the reader; one that needs more reads the index of all.
 NAMED_FILES = 1000
-#: Text pieces, and words of them, whose ids a task remembers (some 100 bytes each); then it begins anew.
-REMEMBERED = 200_000
+#: Text pieces whose ids a Python worker remembers (some 250 bytes each, the words in them included: 125 MB at most);
+#: then it begins anew. Kept from task to task, of one vocabulary file at a time.
+REMEMBERED = 500_000
 END_ID = 0
 
 
@@ -165,35 +166,21 @@ class OddSpace(Exception):
     """A piece holds white space other than spaces and line ends."""
 
 
-class Bounded(dict):
-    """Remembered results of a function; emptied when full."""
-
-    def __init__(self, made: Callable[[str], bytes]) -> None:
-        super().__init__()
-        self.made = made
-
-    def __missing__(self, key: str) -> bytes:
-        out = self.made(key)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[key] = out
-        return out
-
-
-class Pieces:
-    """Ids of texts as little-endian bytes, piece by piece.
+class Pieces(dict):
+    """Text piece -> its ids as little-endian bytes; a key lacks the space before it, unless a line end comes first.
 
     The pre-tokenizer of a byte-level BPE never joins a token over the border before a run of spaces and line
     ends, so such pieces encode on their own. Words of Latin letters with the signs after them go straight to the
-    library's model, word by word; all others to its full encode. Texts whose spaces and line ends stand alone
-    are cut at spaces, others by a pattern, and a text with any other white space is encoded whole.
+    library's model, each word once; all others to its full encode. Texts whose spaces and line ends stand alone
+    are cut at spaces, others by a pattern; a text with any other white space is encoded whole.
     """
 
     cut = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
     odd = re.compile(r"[^\S \n]")
-    word = re.compile("(\n?)( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([^\\w\\s']*)\\Z")
+    word = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([^\\w\\s']*)\\Z")
 
     def __init__(self, file: str) -> None:
+        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
@@ -203,38 +190,63 @@ class Pieces:
         self.code = "H" if self.kind == "<u2" else "I"
         self.letters = bytes_as_letters()
         self.model = self.tokenizer.model
-        self.words = Bounded(self.of)
-        self.exact = Bounded(self.piece)
-        #: Keys lack the space before them, unless a line end comes first.
-        self.spaced = Bounded(lambda x: self.piece(x if x[:1] == "\n" else " " + x))
+        self.words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def piece(self, piece: str) -> bytes:
-        if self.odd.search(piece):
-            raise OddSpace
-        if found := self.word.match(piece):
-            return b"".join(self.words[x] for x in found.groups() if x)
-        return self.whole(piece)
-
     def of(self, word: str) -> bytes:
-        mapped = word.replace(" ", "Ġ") if word.isascii() and "\n" not in word else word.encode().decode("latin-1").translate(self.letters)
-        return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        """Ids of what is one pre-token."""
+        out = self.words.get(word)
+        if out is None:
+            mapped = word.replace(" ", "Ġ") if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            out = self.words[word] = array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        return out
+
+    def __missing__(self, key: str) -> bytes:
+        if found := self.word.match(key):
+            word, signs = found.groups()
+            out = self.of(" " + word)
+            if signs:
+                out += self.of(signs)
+        elif self.odd.search(key):
+            raise OddSpace
+        else:
+            out = self.whole(key if key[:1] == "\n" else " " + key)
+        if len(self) >= REMEMBERED:
+            self.clear()
+            self.words.clear()
+        self[key] = out
+        return out
 
     def ids(self, text: str) -> bytes:
         """All ids of a text as the library's encode gives them."""
         if not self.plain:
             return self.whole(text)
         try:
-            if "  " in text or "\n\n" in text or " \n" in text:
-                return b"".join(map(self.exact.__getitem__, self.cut.findall(text)))
-            first, *rest = text.replace("\n", " \n").split(" ")
-            return (self.exact[first] if first else b"") + b"".join(map(self.spaced.__getitem__, rest))
+            if "  " not in text and "\n\n" not in text and " \n" not in text:
+                first, *rest = text.replace("\n", " \n").split(" ")
+                head = self.whole(first) if first else b""
+            else:
+                # a piece with a space before it is known without; one without is encoded as it is
+                parts = self.cut.findall(text)
+                return b"".join(self[x[1:]] if x[0] == " " and x[1:2] not in (" ", "\n") else self.whole(x) if not self.odd.search(x) else self[x] for x in parts)
+            return head + b"".join(map(self.__getitem__, rest))
         except OddSpace:
             return self.whole(text)
 
 
+_kept: dict[str, Pieces] = {}
+
+
+def pieces_of(file: str) -> Pieces:
+    """The worker's pieces for a vocabulary file."""
+    if file not in _kept:
+        _kept.clear()
+        _kept[file] = Pieces(file)
+    return _kept[file]
+
+
 def bytes_as_letters() -> dict[int, str]:
     """The byte-level alphabet: bytes that do not print stand for characters from 256 on."""
     prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -250,9 +262,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
     no image. Texts are range-partitioned before they are encoded, once.
     """
     bounded_batches(docs.sparkSession)
-    whole = F.col(id_col).cast("long")
-    known = F.when(F.col(id_col).isNotNull() & (whole.isNull() | (whole.cast("string") != F.col(id_col).cast("string"))), F.raise_error(F.lit("a document's id is no whole number"))).otherwise(whole)
-    named = docs.select(known.cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    named = docs.select(whole_number(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
     placed = named.repartitionByRange(*order).sortWithinPartitions(*order)
 
@@ -260,7 +270,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
         from pyspark import TaskContext
 
         part, seq = TaskContext.get().partitionId(), 0
-        pieces = Pieces(tokenizer)
+        pieces = pieces_of(tokenizer)
         kind = np.dtype(pieces.kind)
         end = np.array([end_id], kind).tobytes()
         doc_ids: list[int | None] = []
@@ -290,7 +300,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
             yield image()
 
     made = placed.mapInArrow(encode, "part int, seq int, n_tokens long, n_docs long, image binary")
-    a_row_group_each = {"parquet.block.size": GROUP_BYTES, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1}
+    a_row_group_each = {"parquet.block.size": GROUP_BYTES, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
     made.write.options(compression="uncompressed", maxRecordsPerFile=FILE_IMAGES, **a_row_group_each).parquet(path)
 
 
