@@ -28,10 +28,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import catalog_jobs  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import catalog_jobs  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -74,7 +78,7 @@ tf AS (SELECT doc_id AS rid, term, count(*) AS tf FROM (SELECT doc_id, unnest(t)
     "tfidf": """raww AS (SELECT rid, term, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents)) / (1.0::DOUBLE + df)) + 1) AS w FROM tf JOIN vocab USING (term)),
 wts AS (SELECT rid, term, w / sqrt(sum(w * w) OVER (PARTITION BY rid)) AS w FROM raww)""",
     "vecs": """unit AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda z: z::DOUBLE * z::DOUBLE)))) AS v FROM embeddings),
-sims AS (SELECT q.vec_id AS query, d.vec_id AS doc, list_dot_product(q.v, d.v) AS sim FROM unit q JOIN unit d ON d.vec_id % 20 <> 0 WHERE q.vec_id % 20 = 0),
+sims AS (SELECT q.vec_id AS query, d.vec_id AS doc, list_dot_product(q.v, d.v) AS sim FROM unit q JOIN unit d ON d.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
 dense AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, doc) AS rank FROM sims WHERE sim > 0 QUALIFY rank <= 50)""",
 }
 
@@ -227,7 +231,7 @@ rsteps AS (SELECT rid, s, sum(y) AS y, count(*) AS n FROM near GROUP BY ALL), rr
 rap AS (SELECT rid, sum(y * tp / a) / sum(y) AS ap FROM rrun GROUP BY rid HAVING sum(y) > 0)
 SELECT round((SELECT sum(y * tp / a) / sum(y) FROM run), 6) AS micro_ap, round((SELECT avg(ap) FROM rap), 6) AS samples_ap"""))
 def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(metrics.average_precision(fx.cells(spark, sf_dir)))
+    return _r(metrics.average_precision(fx.cells(spark, sf_dir), places=4))
 
 
 @query(_sql(_CELLS, """, sc AS (SELECT member, rid, round(1 - max(s), 4) AS s, bool_or(y = 1 AND label LIKE '/0/%') AS is_ood FROM allcells GROUP BY ALL),
@@ -671,21 +675,22 @@ def naive_bayes_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _r(models.score_naive_bayes(w, w.groupBy("term").agg(F.sum("w").alias("all")), extra, head), 5)
 
 
-@query(_sql("tf vocab tfidf", """, q AS (SELECT * FROM wts WHERE rid % 20 = 0), s AS (SELECT q.rid AS query, d.rid AS doc, round(sum(q.w * d.w), 9) AS sim FROM q JOIN wts d ON d.term = q.term AND d.rid % 20 <> 0 GROUP BY ALL)
+@query(_sql("tf vocab tfidf", """, q AS (SELECT * FROM wts WHERE rid % 20 = 0), s AS (SELECT q.rid AS query, d.rid AS doc, round(sum(q.w * d.w), 9) AS sim FROM q JOIN wts d ON d.term = q.term AND d.rid <> q.rid GROUP BY ALL)
 SELECT query, doc, round(sim, 6) AS sim, row_number() OVER (PARTITION BY query ORDER BY sim DESC, doc)::INT AS rank FROM s WHERE sim > 0 QUALIFY rank <= 10"""))
 def sparse_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, _ = _weights(spark, sf_dir)
     q = w.where("row % 20 = 0").select(F.col("row").alias("query"), "term", "w")
-    d = w.where("row % 20 <> 0").select(F.col("row").alias("doc"), "term", "w")
-    sims = joins.sparse_similarity(q, d).withColumn("sim", F.round("sim", 9))
+    d = w.select(F.col("row").alias("doc"), "term", "w")
+    sims = joins.sparse_similarity(q, d).where("doc <> query").withColumn("sim", F.round("sim", 9))
     return _r(joins.best_by_rank(sims, 10))
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = fx.table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))
-    d = e.where("vec_id % 20 <> 0").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
-    return joins.dense_top(q, d)
+    d = e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
+    # all rows are the index; a query's own row takes one place of 51
+    return joins.best_by_rank(joins.dense_top(q, d, 51).drop("rank").where("doc <> query"), 50)
 
 
 @query(_sql("vecs", "SELECT query, doc, round(sim, 6) AS sim, rank::INT AS rank FROM dense"))
@@ -719,7 +724,7 @@ def score_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .streaming.scoring import score_stream as stream
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/arbora-checkpoints"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
     source = f"{sf_dir}/events.parque[t]"  # a pattern, as a stream's base path may be no single file
     schema = fx.table(spark, sf_dir, "events").schema

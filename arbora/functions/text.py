@@ -137,7 +137,7 @@ def segment_sentences(text: Column | str) -> Column:
     joined, and the text is cut after a stop before a capital, before bullets and before list marks.
     """
     whole = F.regexp_replace(_c(text), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
-    hide = [(a, f"{chr(0xE100 + k)}") for k, a in enumerate(ABBREVIATIONS)]
+    hide = [(a, f"{chr(0xE100 + k)}") for k, a in enumerate(ABBREVIATIONS)]
     out = whole
     for plain, hidden in hide:
         out = F.replace(out, F.lit(plain), F.lit(hidden))
@@ -146,9 +146,10 @@ def segment_sentences(text: Column | str) -> Column:
 
     def shown(part: Column) -> Column:
         part = F.regexp_replace(part, r"^\s+|\s+$", "")
+        plainly = part
         for plain, hidden in hide:
-            part = F.replace(part, F.lit(hidden), F.lit(plain))
-        return part
+            plainly = F.replace(plainly, F.lit(hidden), F.lit(plain))
+        return F.when(part.rlike(f"[{hide[0][1]}-{hide[-1][1]}]"), plainly).otherwise(part)  # few sentences have one
 
     found = F.filter(F.transform(F.split(out, CUT, -1), shown), lambda s: (s != "") & (s != "."))
     some = F.when(F.size(found) > 0, found).otherwise(F.array(whole))

@@ -153,9 +153,9 @@ def _average_precision(cells: DataFrame, keys: By) -> DataFrame:
     return run.groupBy(*keys).agg(ratio(F.sum(F.col("y") * ratio("tp", "all")), F.sum("y")).alias("ap"))
 
 
-def average_precision(cells: DataFrame, by: By = (), places: int = 4) -> DataFrame:
-    """Micro average precision on scores at so many places, and the mean over rows that have a gold label."""
-    near = cells.withColumn("s", F.round("s", places))
+def average_precision(cells: DataFrame, by: By = (), places: int | None = None) -> DataFrame:
+    """Micro average precision, and the mean over rows that have a gold label; with places, scores are rounded first."""
+    near = cells if places is None else cells.withColumn("s", F.round("s", places))
     micro = _average_precision(near, by).withColumnRenamed("ap", "micro_ap")
     gold = cells.groupBy(*by, "row").agg(F.sum("y").alias("g")).where("g > 0").drop("g")
     rows = _average_precision(near.join(gold, [*by, "row"], "left_semi"), [*by, "row"])
@@ -238,7 +238,9 @@ def flag_rates(flags: DataFrame, checks: Sequence[str], group: str, examples: in
     """(group, check, records, flagged, rate, examples): per group and `all`, first ids in order (ord, id, flags)."""
     long = flags.select(group, "ord", "id", F.explode(F.array(*(F.struct(F.lit(c).alias("check"), F.col(c).alias("hit")) for c in checks))).alias("f")).select(group, "ord", "id", "f.check", "f.hit")
     first = long.where("hit").withColumn("k", F.row_number().over(Window.partitionBy(group, "check").orderBy("ord"))).where(F.col("k") <= examples).groupBy(group, "check").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]).alias("examples"))
-    rates = long.rollup("check", group).agg(F.count("*").alias("records"), F.count_if("hit").alias("flagged")).where("check is not null").withColumn(group, F.coalesce(group, F.lit("all")))
+    known = long.withColumn(group, F.coalesce(group, F.lit("")))  # a null group is the blank one, and not `all`
+    first = first.withColumn(group, F.coalesce(group, F.lit("")))
+    rates = known.rollup("check", group).agg(F.count("*").alias("records"), F.count_if("hit").alias("flagged"), F.grouping(group).alias("_all")).where("check is not null").withColumn(group, F.when(F.col("_all") == 1, "all").otherwise(F.col(group))).drop("_all")
     return rates.join(first, [group, "check"], "left").select(group, "check", "records", "flagged", ratio("flagged", "records").alias("rate"), "examples")
 
 

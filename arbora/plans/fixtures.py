@@ -6,6 +6,9 @@ orders behind them; members' scores are hashes, alike in every engine.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +24,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_kept: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """A derived table, made once an application and input and cached by Spark, which makes lost parts again."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _kept:
+        _kept[key] = make(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    found = _kept[key]
+    return found.toDF(*found.columns)  # with columns of its own, so it joins with itself
+
+
 def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(pid, code), distinct."""
+    return kept(spark, sf_dir, "assignments", _assignments)
+
+
+def _assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     line = t("lineitem").select(F.col("l_orderkey").alias("pid"), "l_suppkey", "l_partkey")
     place = t("supplier").join(F.broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_regionkey", "n_nationkey")
@@ -36,20 +55,28 @@ def min_support(spark: SparkSession, sf_dir: str) -> int:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_taxonomy(assignments(spark, sf_dir), min_support(spark, sf_dir))
+    return kept(spark, sf_dir, "nodes", lambda s, d: build_taxonomy(assignments(s, d), min_support(s, d)))
 
 
 def closed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return closure(nodes(spark, sf_dir))
+    return kept(spark, sf_dir, "closed", lambda s, d: closure(nodes(s, d)))
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(label): supported codes."""
+    return kept(spark, sf_dir, "labels", _labels)
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assignments(spark, sf_dir).groupBy(F.col("code").alias("label")).count().where(F.col("count") >= min_support(spark, sf_dir)).select("label")
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row, label)."""
+    return kept(spark, sf_dir, "gold", _gold)
+
+
+def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assignments(spark, sf_dir).select(F.col("pid").alias("row"), F.col("code").alias("label")).join(F.broadcast(labels(spark, sf_dir)), "label").select("row", "label")
 
 
