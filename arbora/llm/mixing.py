@@ -105,9 +105,12 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
     """The mix itself: docs' columns, a row for each copy. Rows with the same id, source and text are interchangeable."""
     sized = written(sizes(docs, id_col, text_col, source_col), "mix-sizes")
     found = copies(sized, targets(sized, weights, most), seed)
-    i, s, t, n, h, o, k = (free_name(docs, f"_{x}") for x in ("i", "s", "t", "copies", "th", "source", "copy"))
-    many = found.select(F.col("id").alias(i), F.col("source").alias(s), F.col("th").alias(t), _crossed(F.lit(0).cast("long"), F.col("n")).alias(n)).where(F.col(n) > 0)
-    keyed = docs.withColumn(h, F.xxhash64(F.coalesce(text_col, F.lit("")))).withColumn(o, F.col(source_col).cast("string"))
-    once = keyed.dropDuplicates([id_col, h, o])
-    met = once.join(many, F.col(id_col).eqNullSafe(F.col(i)) & F.col(o).eqNullSafe(F.col(s)) & (F.col(h) == F.col(t)))
-    return met.withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)
+    n, i, h, m, o, c, k = (free_name(docs, f"_{x}") for x in ("null", "id", "th", "none", "source", "copies", "copy"))
+    # keys without nulls, so that the texts' partitions serve both steps and texts are shuffled once
+    plain = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    crossed = _crossed(F.lit(0).cast("long"), F.col("n"))
+    many = found.select(F.col("id").isNull().alias(n), plain(F.col("id")).alias(i), F.col("th").alias(h), F.col("source").isNull().alias(m), plain(F.col("source")).alias(o), crossed.alias(c)).where(F.col(c) > 0)
+    keys = [n, i, h, m, o]
+    keyed = docs.select("*", F.col(id_col).isNull().alias(n), plain(F.col(id_col)).alias(i), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias(h), F.col(source_col).isNull().alias(m), plain(F.col(source_col)).alias(o))
+    met = keyed.dropDuplicates(keys).join(many, keys)
+    return met.withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), F.col(c)))).select(*docs.columns)

@@ -14,11 +14,15 @@ reference fingerprint (pivot) differ by at most `radius`. Reference distances ar
 Equal fingerprints are merged first. A cell emits a spanning set of its links only: the members
 already reached from a fingerprint are not compared with one another again. A cell over TILE
 fingerprints is cut into tiles, and each pair of tiles is a task of its own.
+
+For a similarity in place of a radius (similar_documents), fingerprints have 256 bits, so that unlike texts are never as
+near as alike ones; cells are bands of sampled bits, and discarding and verifying go as above.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -32,35 +36,70 @@ from .common import arrow_pass, bounded_batches, dropped, free_name, text_bytes,
 from .components import connected_components
 
 WIDTH, RADIUS, PIVOTS = 4, 4, 24
+#: Bits of the fingerprints that tell a similarity.
+WIDE = 256
 #: Fingerprints of one cell that a task compares at most with as many others.
 TILE = 4096
 #: Expected fingerprints in a cell, above which one more block is used.
 CELL = 64
 
 
-def fingerprint(text: bytes, width: int = WIDTH) -> int:
-    """64-bit SimHash of the width-word shingles (repeats count) of a UTF-8 text.
+def shingles(text: bytes, width: int) -> list[bytes]:
+    """Space-joined runs of width words of a UTF-8 text, repeats included; fewer words make one, no word makes none.
 
-    A-Z is lower-cased, words are cut at ASCII white space; fewer words than width make one shingle,
-    no word gives 0. A bit is set if it is set in over half of the shingles' XXH64 (seed 42).
+    A-Z is lower-cased and words are cut at ASCII white space.
     """
     words = text.lower().split()
     n = len(words)
     if not n:
-        return 0
+        return []
     joined = b" ".join(words)
     if n <= width:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return [joined]
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
     starts = np.concatenate(([0], ends[: n - width])).tolist()
-    cut = map(joined.__getitem__, map(slice, starts, (ends[width - 1 :] - 1).tolist()))
-    count = n - width + 1
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(42)), np.uint64, count)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, count, 32768):
-        bits = np.unpackbits(hashes[at : at + 32768].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += np.add.reduce(bits, axis=0, dtype=np.uint16)
-    return int(np.packbits(ones * 2 > count, bitorder="little").view(np.uint64)[0])
+    return list(map(joined.__getitem__, map(slice, starts, (ends[width - 1 :] - 1).tolist())))
+
+
+def majority_bits(hashes: np.ndarray) -> np.ndarray:
+    """Bytes (little-endian bits) that are set where over half of the rows of bytes have the bit set."""
+    ones = np.zeros(8 * hashes.shape[1], np.int64)
+    for at in range(0, len(hashes), 32768):
+        ones += np.add.reduce(np.unpackbits(hashes[at : at + 32768], axis=1, bitorder="little"), axis=0, dtype=np.uint16)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little")
+
+
+def fingerprint(text: bytes, width: int = WIDTH) -> int:
+    """64-bit SimHash of the width-word shingles (repeats count) of a UTF-8 text; no word gives 0.
+
+    A bit is set if it is set in over half of the shingles' XXH64 (seed 42).
+    """
+    cut = shingles(text, width)
+    if not cut:
+        return 0
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(42)), np.uint64, len(cut))
+    return int(majority_bits(hashes.view(np.uint8).reshape(-1, 8)).view(np.uint64)[0])
+
+
+def wide_fingerprint(text: bytes, width: int) -> bytes:
+    """256-bit SimHash: the first lane is XXH64 as in fingerprint, the others are mixed from it by odd multipliers."""
+    cut = shingles(text, width)
+    if not cut:
+        return bytes(WIDE // 8)
+    lane = np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(42)), np.uint64, len(cut))
+    lanes = [lane]
+    for k in range(1, WIDE // 64):
+        x = lane + np.uint64((k * 0x9E3779B97F4A7C15) & (2**64 - 1))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        lanes.append(x ^ (x >> np.uint64(31)))
+    return majority_bits(np.stack(lanes, 1).view(np.uint8)).tobytes()
+
+
+def radius_of(similarity: float) -> int:
+    """Differing bits of 256 up to which shingle sets count as alike: the mean at that Jaccard similarity, and a deviation."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(WIDE * share + math.sqrt(WIDE * share * (1 - share)))
 
 
 def pivots(number: int = PIVOTS) -> np.ndarray:
@@ -157,7 +196,30 @@ def cell_links(fp: np.ndarray, near: np.ndarray, radius: int = RADIUS) -> list[t
     return found
 
 
-def _linked(cells: DataFrame, by: list[str], number: int, radius: int) -> DataFrame:
+def wide_cell_links(fp: np.ndarray, near: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """As cell_links, for 256-bit fingerprints that follow their row of the pivot table in near."""
+    bits = np.ascontiguousarray(near[:, -WIDE // 8 :]).view(np.uint64)
+    rows = near[:, : -WIDE // 8].astype(np.int16)
+    left, found = np.arange(len(fp)), []
+    if len(fp) <= 64:  # most cells hold no link
+        i, j = np.nonzero(np.triu(np.bitwise_count(bits[:, None] ^ bits[None]).sum(2, dtype=np.int16) <= radius, 1))
+        if not len(i):
+            return found
+    while len(left):
+        stack, left = [int(left[0])], left[1:]
+        while stack and len(left):
+            at = stack.pop()
+            spots = np.flatnonzero(np.abs(rows[left] - rows[at]).max(1) <= radius)
+            spots = spots[np.bitwise_count(bits[left[spots]] ^ bits[at]).sum(1, dtype=np.int16) <= radius]
+            if len(spots):
+                met = left[spots].tolist()
+                found += [(at, x) for x in met]
+                stack += met
+                left = np.delete(left, spots)
+    return found
+
+
+def _linked(cells: DataFrame, by: list[str], number: int, radius: int, links_of: Callable = cell_links) -> DataFrame:
     """(a, b) links of all cells; rows of a cell are met in one sorted partition."""
     bounded = cells.select(*by, "fp", "near").repartition(*by).sortWithinPartitions(*by)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -173,7 +235,7 @@ def _linked(cells: DataFrame, by: list[str], number: int, radius: int) -> DataFr
             a: list[np.ndarray] = []
             b: list[np.ndarray] = []
             for x, y in zip(bounds[:upto], bounds[1 : upto + 1], strict=True):
-                if y - x > 1 and (links := cell_links(fp[x:y], near[x:y], radius)):
+                if y - x > 1 and (links := links_of(fp[x:y], near[x:y], radius)):
                     pairs = np.array(links) + x
                     a.append(fp[pairs[:, 0]])
                     b.append(fp[pairs[:, 1]])
@@ -201,22 +263,79 @@ def _linked(cells: DataFrame, by: list[str], number: int, radius: int) -> DataFr
     return bounded.mapInArrow(run, "a long, b long")
 
 
-def near_links(prints: DataFrame, radius: int = RADIUS, number: int = PIVOTS, tile: int = TILE) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp) that connect all within radius of one another."""
-    bounded_batches(prints.sparkSession)
-    masks = block_masks(prints.count(), radius)
-    keyed = _keyed(prints, masks, number)
+def _met(keyed: DataFrame, number: int, radius: int, tile: int, links_of: Callable = cell_links) -> DataFrame:
+    """(a, b) links of the cells (t, key); a cell over tile rows is cut into tiles, and each pair of tiles is met."""
     sizes = keyed.groupBy("t", "key").count().where(F.col("count") > tile)
     hot = written(sizes.select("t", "key", F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "hot-cells")
     if hot.isEmpty():
-        return _linked(keyed, ["t", "key"], number, radius)
-    cold = _linked(keyed.join(hot, ["t", "key"], "left_anti"), ["t", "key"], number, radius)
+        return _linked(keyed, ["t", "key"], number, radius, links_of)
+    cold = _linked(keyed.join(hot, ["t", "key"], "left_anti"), ["t", "key"], number, radius, links_of)
     own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
     tiled = keyed.join(hot, ["t", "key"]).withColumn("own", own)
     paired = tiled.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)"))).select(
         "t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "near"
     )
-    return cold.unionByName(_linked(paired, ["t", "key", "i", "j"], number, radius))
+    return cold.unionByName(_linked(paired, ["t", "key", "i", "j"], number, radius, links_of))
+
+
+def near_links(prints: DataFrame, radius: int = RADIUS, number: int = PIVOTS, tile: int = TILE) -> DataFrame:
+    """(a, b): links between distinct fingerprints (column fp) that connect all within radius of one another."""
+    bounded_batches(prints.sparkSession)
+    masks = block_masks(prints.count(), radius)
+    return _met(_keyed(prints, masks, number), number, radius, tile)
+
+
+def bands(distinct: int, similarity: float) -> np.ndarray:
+    """Masks (bands, 4 lanes) of sampled bits: so many bits that a cell holds some 32 of the fingerprints, and so many
+    bands that texts of that similarity share a cell in 97 of 100 cases, likelier the more alike they are."""
+    k = min(48, max(12, math.ceil(math.log2(max(distinct, 1) / 32))))
+    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    out = np.zeros((math.ceil(3.5 / agree**k), WIDE), np.uint8)
+    for t, row in enumerate(out):
+        row[np.random.default_rng([42, t]).choice(WIDE, k, replace=False)] = 1
+    return np.packbits(out, axis=1, bitorder="little").view(np.uint64)
+
+
+def similar_links(prints: DataFrame, similarity: float, number: int = PIVOTS, tile: int = TILE) -> DataFrame:
+    """(a, b): links between wide fingerprints (fp their hash, bits) within radius_of(similarity), found through bands."""
+    bounded_batches(prints.sparkSession)
+    masks = bands(prints.count(), similarity)
+    reference = np.frombuffer(b"".join(wide_fingerprint(f"pivot {i}".encode(), 1) for i in range(number)), np.uint64).reshape(number, -1)
+    schema = T.StructType([T.StructField("t", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("near", T.BinaryType())])
+    odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
+    def work(batch: pa.RecordBatch) -> dict:
+        fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        bits = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(len(fp), -1)
+        near = np.minimum(np.bitwise_count(bits[:, None] ^ reference).sum(2), 255).astype(np.uint8)
+        wide = np.concatenate([near, bits.view(np.uint8).reshape(len(fp), -1)], 1)
+        key = np.bitwise_xor.reduce((bits[:, None] & masks) * odd, axis=2)
+        rows = np.repeat(np.arange(len(fp)), len(masks))
+        packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(wide.shape[1]), len(rows), [None, pa.py_buffer(np.ascontiguousarray(wide[rows]))])
+        return {"t": np.tile(np.arange(len(masks), dtype=np.int32), len(fp)), "key": pa.array(key.ravel().view(np.int64)), "fp": pa.array(fp[rows]), "near": packed}
+
+    return _met(arrow_pass(prints, ["fp", "bits"], schema, work), number + WIDE // 8, radius_of(similarity), tile, wide_cell_links)
+
+
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, th, fp, root): groups of documents whose width-word shingle sets are alike by their 256-bit SimHash.
+
+    Two texts are linked if their fingerprints differ in radius_of(similarity) bits at most. Texts of that very similarity
+    are linked in some 8 of 10 cases, more alike ones nearly always; unlike texts share no link, however many
+    there are. Null text counts as empty; empty texts are one group; repeated rows come back repeated.
+    """
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("th", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bits", T.BinaryType())])
+    named = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("th"), F.col(text_col).alias("text"))
+
+    def work(batch: pa.RecordBatch) -> dict:
+        bits = [wide_fingerprint(x, width) for x in text_bytes(batch.column(2))]
+        node = np.array([xxhash.xxh64_intdigest(x) for x in bits], np.uint64).view(np.int64)
+        return {"id": batch.column(0), "th": batch.column(1), "fp": node, "bits": pa.array(bits, pa.binary())}
+
+    found = written(arrow_pass(named, ["id", "th", "text"], schema, work), "wide-fingerprints")
+    prints = written(found.select("fp", "bits").distinct(), "wide-prints")
+    parts = connected_components(similar_links(prints, similarity, tile=tile))
+    return found.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("id", "th", "fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(
@@ -241,12 +360,16 @@ def near_duplicates(
     return found.join(of_print, "fp").select("id", "th", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
-    """docs with one row of each near-duplicate group: the smallest id, then the smallest text hash."""
-    groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **how)
-    i, t, h = (free_name(docs, f"_{x}") for x in ("i", "t", "th"))
+def keep_one(docs: DataFrame, groups: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each near-duplicate group: the smallest id (null last), then the smallest text hash.
+
+    groups (id, th, root) are those of near_duplicates unless given. Texts are shuffled once.
+    """
+    if groups is None:
+        groups = near_duplicates(docs, id_col=id_col, text_col=text_col)
+    n, i, h = (free_name(docs, f"_{x}") for x in ("null", "id", "th"))
     least = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("w"))
-    winners = least.select(F.col("w.id").alias(i), F.col("w.th").alias(t))
-    named = docs.withColumn(h, F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    met = named.join(winners, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(h) == F.col(t)), "left_semi")
-    return met.dropDuplicates([id_col, h]).drop(h)
+    # keys without nulls, so that the join's partitions also serve the last step
+    winners = least.select(F.col("w.none").alias(n), F.coalesce(F.col("w.id").cast("string"), F.lit("")).alias(i), F.col("w.th").alias(h))
+    named = docs.select("*", F.col(id_col).isNull().alias(n), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias(i), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias(h))
+    return named.join(winners, [n, i, h], "left_semi").dropDuplicates([n, i, h]).select(*docs.columns)

@@ -113,6 +113,41 @@ def test_near_duplicates_empty_and_keep_one(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
 
 
+def jaccard(a, b, width=5):
+    x, y = (set(simhash.shingles(t.encode(), width)) for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+@pytest.mark.parametrize("tile", [4096, 8])
+def test_similar_documents(spark, tile):
+    """Against all pairs: groups join no texts that are unlike, and all but a few alike ones."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows = []
+    for edits in (0, 1, 1, 2, 3, 4):
+        for _ in range(12):
+            base = [word() for _ in range(rng.randint(80, 300))]
+            other = list(base)
+            for _ in range(edits):
+                other[rng.randrange(len(other))] = word()
+            rows += [" ".join(base), " ".join(other)]
+    rows += ["", None, "one two"] + ["half " * 3 + " ".join(word() for _ in range(40)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(rows)), DOCS).repartition(3)
+    root = {r["id"]: r["root"] for r in simhash.similar_documents(df, tile=tile).collect()}
+    prints = [np.frombuffer(simhash.wide_fingerprint((t or "").encode(), 5), np.uint64) for t in rows]
+    alike = caught = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            near = int(np.bitwise_count(prints[i] ^ prints[j]).sum()) <= simhash.radius_of(0.8)
+            s = jaccard(rows[i] or "", rows[j] or "")
+            assert (root[i] == root[j]) <= (near and s > 0.6), (i, j, s)
+            alike += s >= 0.8
+            caught += s >= 0.8 and root[i] == root[j]
+    assert alike > 50 and caught >= 0.95 * alike
+    kept = simhash.keep_one(df, simhash.similar_documents(df))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({root[i]: i for i in reversed(range(len(rows)))}.values())
+
+
 def brute_lines(rows, min_words):
     """Lines deleted per (id, text), by definition: any run of min_words words whose lines stand anywhere earlier."""
     docs = sorted({(i is None, i or 0, t or "") for i, t in rows}, key=lambda d: (d[0], d[1], xxhash.xxh64_intdigest(d[2].encode())))
