@@ -97,9 +97,8 @@ def wide_fingerprint(text: bytes, width: int) -> bytes:
 
 
 def radius_of(similarity: float) -> int:
-    """Differing bits of 256 up to which shingle sets count as alike: the mean at that Jaccard similarity, and a deviation."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(WIDE * share + math.sqrt(WIDE * share * (1 - share)))
+    """Differing bits of 256 that shingle sets of that Jaccard similarity have on average: as many or fewer count as alike."""
+    return round(WIDE * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
 def pivots(number: int = PIVOTS) -> np.ndarray:
@@ -320,9 +319,9 @@ def similar_links(prints: DataFrame, similarity: float, number: int = PIVOTS, ti
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, fp, root): groups of documents whose width-word shingle sets are alike by their 256-bit SimHash.
 
-    Two texts are linked if their fingerprints differ in radius_of(similarity) bits at most. Texts of that very similarity
-    are linked in some 8 of 10 cases, more alike ones nearly always; unlike texts share no link, however many
-    there are. Null text counts as empty; empty texts are one group; repeated rows come back repeated.
+    Two texts are linked if the similarity that their fingerprints tell is so high, that is if they differ in
+    radius_of(similarity) bits at most. The estimate has a deviation of some 0.05 there, so of texts of just that
+    similarity half are linked, and more alike ones nearly always; unlike texts share no link, however many there are. Null text counts as empty; empty texts are one group; repeated rows come back repeated.
     """
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("th", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bits", T.BinaryType())])
     named = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("th"), F.col(text_col).alias("text"))
