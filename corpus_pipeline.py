@@ -1,6 +1,9 @@
 """A corpus through five stages: toxicity, near-duplicates, benchmark leaks, mixing, token ids.
 
-Each stage works on all that its predecessor kept, written as Parquet and read again in between.
+Each stage works on all that its predecessor kept, written as Parquet and read again in between. An empty table stays
+empty; a null text counts as empty everywhere, and empty texts are one near-duplicate group; rows with equal id, text
+and source are interchangeable, and one of them stays after near_dedup; texts are read whole, however long; more columns,
+whatever their names, go along up to the last stage.
 """
 
 from __future__ import annotations
