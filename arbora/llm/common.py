@@ -150,7 +150,7 @@ def free_name(df: DataFrame, name: str) -> str:
 
 def whole_number(name: str) -> object:
     """A column as long; what is no whole number is an error, null stays null."""
-    found = F.col(name).cast("long")
+    found = F.col(name).try_cast("long")
     wrong = F.col(name).isNotNull() & (found.isNull() | (found.cast("string") != F.col(name).cast("string")))
     return F.when(wrong, F.raise_error(F.lit(f"{name} is no whole number"))).otherwise(found).cast("long")
 
