@@ -38,9 +38,10 @@ FILE_IMAGES = 64
 GROUP_BYTES = 1 << 16
 #: Files that a lookup names to the reader; one that needs more reads the index of all.
 NAMED_FILES = 1000
-#: Text pieces whose ids a Python worker remembers (some 250 bytes each, the words in them included: 125 MB at most);
-#: then it begins anew. Kept from task to task, of one vocabulary file at a time.
+#: Text pieces whose ids a Python worker remembers, and words in them; then it begins anew. Kept from task to task, of one
+#: vocabulary file at a time. Longer pieces and words are encoded but not remembered, so the number bounds the bytes.
 REMEMBERED = 500_000
+REMEMBERED_LENGTH = 48
 END_ID = 0
 
 
@@ -200,7 +201,11 @@ class Pieces(dict):
         out = self.words.get(word)
         if out is None:
             mapped = word.replace(" ", "Ġ") if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            out = self.words[word] = array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            out = array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            if len(word) <= REMEMBERED_LENGTH:
+                if len(self.words) >= REMEMBERED:
+                    self.words.clear()
+                self.words[word] = out
         return out
 
     def __missing__(self, key: str) -> bytes:
@@ -213,10 +218,11 @@ class Pieces(dict):
             raise OddSpace
         else:
             out = self.whole(key if key[:1] == "\n" else " " + key)
-        if len(self) >= REMEMBERED:
-            self.clear()
-            self.words.clear()
-        self[key] = out
+        if len(key) <= REMEMBERED_LENGTH:
+            if len(self) >= REMEMBERED:
+                self.clear()
+                self.words.clear()
+            self[key] = out
         return out
 
     def ids(self, text: str) -> bytes:

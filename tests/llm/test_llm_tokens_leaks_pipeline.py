@@ -53,6 +53,19 @@ def test_pieces_equal_the_library(monkeypatch):
                 assert np.frombuffer(pieces.ids(t), pieces.kind).tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_long_pieces_are_not_remembered(monkeypatch):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(queries.tokenizer_file())
+    pieces = token_store.Pieces(queries.tokenizer_file())
+    monkeypatch.setattr(token_store, "REMEMBERED", 20)
+    texts = [" ".join([f"w{k}", chr(97 + k % 26) * 30, "x" * 5000 + str(k), "é" * 2000 + ",", "#" * 300, "word" * 20 + "." * (k + 1)]) for k in range(60)]
+    for t in texts:
+        assert np.frombuffer(pieces.ids(t), pieces.kind).tolist() == whole.encode(t, add_special_tokens=False).ids
+    for known in (pieces, pieces.words):
+        assert len(known) <= 20 and max(map(len, known)) <= token_store.REMEMBERED_LENGTH + 1
+
+
 def expected(rows):
     from tokenizers import Tokenizer
 
