@@ -13,7 +13,8 @@ reference fingerprint (pivot) differ by at most `radius`. Reference distances ar
 
 Equal fingerprints are merged first. A cell emits a spanning set of its links only: the members
 already reached from a fingerprint are not compared with one another again. A cell over TILE
-fingerprints is cut into tiles, and each pair of tiles is a task of its own.
+fingerprints is laid out by the distance to the first pivot and cut into tiles; each pair of tiles that
+hold distances within the radius is a task of its own, the others are skipped.
 
 For a similarity in place of a radius (similar_documents), fingerprints have 256 bits and cells are bands of sampled bits;
 discarding and verifying go as above, at a radius two deviations beyond the mean at that similarity. An exact check of
@@ -30,7 +31,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -283,18 +284,30 @@ def _linked(cells: DataFrame, by: list[str], number: int, radius: int, links_of:
 
 
 def _met(keyed: DataFrame, number: int, radius: int, tile: int, links_of: Callable = cell_links) -> DataFrame:
-    """(a, b) links of the cells (t, key); a cell over tile rows is cut into tiles, and each pair of tiles is met."""
+    """(a, b) links of the cells (t, key); a cell over tile rows is cut into tiles, met pair by pair."""
     sizes = keyed.groupBy("t", "key").count().where(F.col("count") > tile)
-    hot = written(sizes.select("t", "key", F.ceil(F.col("count") / tile).cast("int").alias("tiles")), "hot-cells")
+    hot = written(sizes.select("t", "key"), "hot-cells")
     if hot.isEmpty():
         return _linked(keyed, ["t", "key"], number, radius, links_of)
     cold = _linked(keyed.join(hot, ["t", "key"], "left_anti"), ["t", "key"], number, radius, links_of)
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    tiled = keyed.join(hot, ["t", "key"]).withColumn("own", own)
-    paired = tiled.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)"))).select(
-        "t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "near"
-    )
-    return cold.unionByName(_linked(paired, ["t", "key", "i", "j"], number, radius, links_of))
+    return cold.unionByName(_linked(tile_pairs(keyed.join(hot, ["t", "key"]), radius, tile), ["t", "key", "i", "j"], number, radius, links_of))
+
+
+def tile_pairs(hot: DataFrame, radius: int, tile: int) -> DataFrame:
+    """(t, key, i, j, fp, near): rows of cells, once for each pair of tiles in which one within radius may wait for them.
+
+    A cell is laid out by the distance to the first pivot and cut into tiles of about tile rows. A row meets only the tiles that
+    hold distances within radius of its own: pairs of tiles further apart are skipped unseen. Rows of one distance are dealt by hash.
+    """
+    placed = hot.withColumn("c", F.conv(F.hex(F.substring("near", 1, 1)), 16, 10).cast("int"))
+    counts = placed.groupBy("t", "key", "c").agg(F.count("*").alias("n"))  # a distance a row: at most 256 a cell
+    along = Window.partitionBy("t", "key").orderBy("c")
+    laid = counts.withColumn("upto", F.sum("n").over(along))
+    reach = along.rangeBetween(-radius, radius)
+    laid = laid.select("t", "key", "c", "n", (F.col("upto") - F.col("n")).alias("ahead"), F.min(F.col("upto") - F.col("n")).over(reach).alias("lo"), F.max("upto").over(reach).alias("hi"))
+    own = F.expr(f"(ahead + pmod(xxhash64(fp), n)) div {tile}").cast("int")
+    other = F.explode(F.expr(f"sequence(cast(lo div {tile} as int), cast((hi - 1) div {tile} as int))"))
+    return placed.join(laid, ["t", "key", "c"]).withColumn("own", own).withColumn("other", other).select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "near")
 
 
 def near_links(prints: DataFrame, radius: int = RADIUS, number: int = PIVOTS, tile: int = TILE) -> DataFrame:

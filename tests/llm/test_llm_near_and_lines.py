@@ -268,3 +268,18 @@ def test_line_dedup_texts(spark):
     assert got.columns == df.columns and got.count() == len(rows)
     assert {(r["doc_id"], r["text"]) for r in got.collect()} == {(1, rows[0][1]), (2, "own two"), (None, ""), (3, "short line"), (4, "short line")}
     assert line_dedup.without_repeats(df.limit(0)).count() == 0
+
+
+def test_tiles_of_a_hot_cell_are_pruned_by_pivot_distance(spark):
+    """200 rows at distance 10, 200 at 40, 5 between: tiles of the two heaps never meet, and every pair within the radius does."""
+    distance = [10] * 200 + [40] * 200 + [14, 18, 36, 37, 60]
+    rows = [(0, 7, fp, bytes([c, 1])) for fp, c in enumerate(distance)]
+    hot = spark.createDataFrame(rows, "t int, key long, fp long, near binary").repartition(3)
+    groups = defaultdict(set)
+    for r in simhash.tile_pairs(hot, 4, 20).collect():
+        groups[r["i"], r["j"]].add(r["fp"])
+    tiles = 1 + max(j for _, j in groups)
+    assert len(groups) < 0.6 * tiles * (tiles + 1) / 2
+    met = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+    assert all((a, b) in met for a in range(len(distance)) for b in range(a + 1, len(distance)) if abs(distance[a] - distance[b]) <= 4)
+    assert not any(x < 200 <= y < 400 for x, y in met)
