@@ -63,3 +63,9 @@ def json_path(text: Column | str, path: str) -> Column:
 def rounded(x: Column | str, places: int = 4) -> Column:
     """Half-even rounding."""
     return F.bround(_c(x), places)
+
+
+def merged(base: Mapping[str, object], over: Mapping[str, object]) -> dict[str, object]:
+    """Settings of over on those of base, mapping by mapping; any other value replaces the old one whole."""
+    both = lambda k: isinstance(base.get(k), Mapping) and isinstance(over[k], Mapping)
+    return {**base, **{k: merged(base[k], v) if both(k) else v for k, v in over.items()}}

@@ -34,7 +34,7 @@ def html_unescape(text: Column | str) -> Column:
 
 
 def unescape_basic(text: Column | str) -> Column:
-    """The six common entities, in one pass so that a double-escaped one is undone once only."""
+    """The six common entities, the ampersand last so that a double-escaped one is undone once only."""
     out = _c(text)
     for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(sign))

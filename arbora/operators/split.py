@@ -123,7 +123,7 @@ def stratified_split(records: DataFrame, ratios: Sequence[float] = (0.7, 0.15, 0
             out[i] = chooser.place(int(rows["size"].iat[i]), list(rows["labels"].iat[i]))
         yield pd.DataFrame({"_arbora_g": rows["g"].to_numpy(), "split": [out[i] for i in range(len(rows))]})
 
-    placed = table.coalesce(1).mapInPandas(place, "_arbora_g string, split int")
+    placed = table.repartition(1).mapInPandas(place, "_arbora_g string, split int")
     return records.join(placed, F.col(name).cast("string").eqNullSafe(F.col("_arbora_g"))).drop("_arbora_g")
 
 

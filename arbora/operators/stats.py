@@ -19,6 +19,8 @@ By = Sequence[str]
 SEED = 42
 #: Replicates that one task draws.
 BLOCK = 250
+#: Drawn weights that a task holds at once.
+HELD = 4_000_000
 
 
 def holm(p_values: DataFrame, by: By = (), name: str = "name", p: str = "p_value") -> DataFrame:
@@ -37,6 +39,20 @@ def pair_counts(cells_a: DataFrame, cells_b: DataFrame, project: str = "pair_id"
     return of(cells_a, "a").join(of(cells_b, "b"), project, "full_outer").fillna(0)
 
 
+def drawn(draw: np.random.Generator, n: int, p: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """size multinomial draws in steps of at most HELD weights; the generator advances as in one call."""
+    step = max(1, HELD // max(len(p), 1))
+    for at in range(0, size, step):
+        yield draw.multinomial(n, p, size=min(step, size - at))
+
+
+def passed_over(draw: np.random.Generator, n: int, p: np.ndarray, size: int) -> np.random.Generator:
+    """The generator after so many draws, none of which is kept."""
+    for _ in drawn(draw, n, p, size):
+        pass
+    return draw
+
+
 def hashed_draws(projects: DataFrame, replicates: int, project: str = "pair_id", seed: int = SEED) -> DataFrame:
     """(replicate, project, w): project number md5(seed:replicate:draw) mod n, n draws a replicate, counted."""
     numbered = projects.select(project).distinct().withColumn("_i", F.row_number().over(Window.orderBy(project)) - 1)  # one row a project
@@ -84,11 +100,9 @@ def paired_bootstrap(counts: DataFrame, resamples: int = 1000, project: str = "p
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for lo in frame["id"]:
-                draw = np.random.default_rng(seed)
-                n = min(BLOCK, resamples - lo)
-                if lo:
-                    draw.multinomial(rows, np.full(rows, 1 / rows), size=int(lo))
-                s = draw.multinomial(rows, np.full(rows, 1 / rows), size=int(n)) @ shared.value
+                even, n = np.full(rows, 1 / rows), int(min(BLOCK, resamples - lo))
+                draw = passed_over(np.random.default_rng(seed), rows, even, int(lo))
+                s = np.concatenate([w @ shared.value for w in drawn(draw, rows, even, n)])
                 f = lambda tp, err: np.divide(2 * tp, 2 * tp + err, out=np.zeros_like(tp), where=(2 * tp + err) > 0)
                 yield pd.DataFrame({"replicate": np.arange(lo, lo + n), "difference": f(s[:, 0], s[:, 1]) - f(s[:, 2], s[:, 3])})
 
@@ -116,19 +130,18 @@ def auroc_interval(scores: DataFrame, replicates: int = 1000, seeds: tuple[int,
         for frame in frames:
             for lo in frame["id"]:
                 n = int(min(BLOCK, replicates - lo))
-                drawn = []
-                for part, seed in zip(sides, seeds, strict=True):
-                    total = int(part["count"].sum())
-                    draw = np.random.default_rng(seed)
-                    p = part["count"].to_numpy() / total
-                    if lo:
-                        draw.multinomial(total, p, size=int(lo))
-                    drawn.append(draw.multinomial(total, p, size=n).astype(float))
+                totals = [int(part["count"].sum()) for part in sides]
+                shares = [part["count"].to_numpy() / total for part, total in zip(sides, totals, strict=True)]
+                draws = [passed_over(np.random.default_rng(seed), total, p, int(lo)) for seed, total, p in zip(seeds, totals, shares, strict=True)]
                 s_id, s_ood = (p["s"].to_numpy() for p in sides)
-                cum = np.concatenate([np.zeros((n, 1)), np.cumsum(drawn[0], axis=1)], axis=1)
-                below, upto = cum[:, np.searchsorted(s_id, s_ood, "left")], cum[:, np.searchsorted(s_id, s_ood, "right")]
-                wins = (drawn[1] * (below + upto) / 2).sum(1)
-                yield pd.DataFrame({"auroc": wins / (drawn[0].sum(1) * drawn[1].sum(1))})
+                left, right = np.searchsorted(s_id, s_ood, "left"), np.searchsorted(s_id, s_ood, "right")
+                wins = np.zeros(n)
+                # a replicate at a time: a side's draws are read in order, whatever the steps
+                each = [(w for block in drawn(draw, total, p, n) for w in block) for draw, total, p in zip(draws, totals, shares, strict=True)]
+                for k, (of_id, of_ood) in enumerate(zip(*each, strict=True)):
+                    cum = np.concatenate([[0.0], np.cumsum(of_id, dtype=float)])
+                    wins[k] = (of_ood * (cum[left] + cum[right]) / 2).sum()
+                yield pd.DataFrame({"auroc": wins / (totals[0] * totals[1])})
 
     starts = scores.sparkSession.range(0, replicates, BLOCK, max(1, replicates // BLOCK))
     return starts.mapInPandas(run, "auroc double").agg(F.percentile("auroc", F.lit(0.025)).alias("ci_low"), F.percentile("auroc", F.lit(0.975)).alias("ci_high"))

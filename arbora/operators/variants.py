@@ -89,12 +89,15 @@ def zipped_sentences(en: Column | str, tr: Column | str) -> Column:
 
 
 def code_switched(en: DataFrame, tr: DataFrame, strategy: str = "sentence_mix", strength: str = "balanced", base_seed: int = 42) -> DataFrame:
-    """Mixed records of pairs (pair_id) that agree in split and labels; others are an error where the row is read."""
-    b = tr.select("pair_id", F.col("id").alias("tr_id"), F.col("text").alias("_tr"), F.col("split").alias("_split"), F.col("labels").alias("_labels"), *(["sentence_alignment"] if "sentence_alignment" in tr.columns else []))
+    """Mixed records of pairs (pair_id) that agree in split, labels and direct labels (where both tables have them); others are an error where the row is read."""
+    direct = "labels_direct" in en.columns and "labels_direct" in tr.columns
+    b = tr.select("pair_id", F.col("id").alias("tr_id"), F.col("text").alias("_tr"), F.col("split").alias("_split"), F.col("labels").alias("_labels"), *(["sentence_alignment"] if "sentence_alignment" in tr.columns else []), *([F.col("labels_direct").alias("_direct")] if direct else []))
     met = en.drop("sentence_alignment").join(b, "pair_id")
     zipped = zipped_sentences("text", "_tr")
     pairs = F.when(F.size("sentence_alignment") > 0, F.col("sentence_alignment")).otherwise(zipped) if "sentence_alignment" in tr.columns else zipped
     same = F.col("split").eqNullSafe(F.col("_split")) & F.col("labels").eqNullSafe(F.col("_labels"))
+    if direct:
+        same &= F.col("labels_direct").eqNullSafe(F.col("_direct"))
     staged = met.withColumns({"_pairs": F.when(same, pairs).otherwise(F.raise_error(F.concat(F.lit("unlike pair "), F.col("pair_id")))), "primary_language": primary_side("pair_id", strategy, strength, base_seed)})
     return staged.select(
         F.concat_ws(":", "pair_id", F.lit("codeswitch"), F.lit(strategy), F.lit(strength)).alias("id"), "pair_id", F.col("id").alias("en_id"), "tr_id", mix_sentences("_pairs", "primary_language", strategy, strength).alias("text"),

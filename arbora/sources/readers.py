@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import zipfile
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -138,6 +138,17 @@ def union_sets(sets: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
+def label_disagreements(scores: DataFrame, by: Sequence[str] = ("eval_set", "member")) -> DataFrame:
+    """(by, label, have, of): labels that some rows of a set and member lack, and labels that other members score and one does not.
+
+    scores has (by, row, label, s). have counts the rows with the label, of the rows of the group.
+    """
+    rows = scores.groupBy(*by).agg(F.count_distinct("row").alias("of"))
+    every = rows.crossJoin(F.broadcast(scores.select("label").distinct()))  # groups and labels: a system's settings, not rows
+    have = scores.groupBy(*by, "label").agg(F.count_distinct("row").alias("have"))
+    return every.join(have, [*by, "label"], "left").fillna(0, ["have"]).where("have <> of").select(*by, "label", "have", "of")
+
+
 def parse_sets(given: list[str]) -> dict[str, str]:
     """name=path arguments; a repeated name is an error."""
     out: dict[str, str] = {}

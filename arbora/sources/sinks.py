@@ -22,14 +22,47 @@ def refused(path: str, inputs: Sequence[str] = ()) -> str | None:
     return None
 
 
+def publish(df: DataFrame, path: str, inputs: Sequence[str] = (), form: str = "parquet") -> None:
+    """Writes df beside path and swaps it in; what was there comes back if the swap fails, and goes once it is done."""
+    if reason := refused(path, inputs):
+        raise ValueError(reason)
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    at, stage, old = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + end) for end in ("", ".stage", ".old"))
+    fs = at.getFileSystem(conf)
+    if fs.exists(old):  # a swap was cut off
+        if fs.exists(at):
+            fs.delete(old, True)
+        elif not fs.rename(old, at):
+            raise OSError(f"cannot restore {path}")
+    df.write.mode("overwrite").format(form).save(stage.toString())
+    had = fs.exists(at)
+    if had and not fs.rename(at, old):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(stage, at):
+        if had:
+            fs.rename(old, at)
+        raise OSError(f"cannot publish {path}")
+    if had:
+        fs.delete(old, True)
+
+
 def write_jsonl(df: DataFrame, path: str, order: str = "ord") -> None:
     """JSON lines with CRLF ends in order, in as many files as there are range partitions."""
     placed = df.repartitionByRange(order).sortWithinPartitions(order) if order in df.columns else df
     placed.write.mode("overwrite").option("lineSep", "\r\n").json(path)
 
 
-def write_split_map(records: DataFrame, path: str) -> None:
-    records.select("project_id", "split").distinct().write.mode("overwrite").parquet(path)
+def write_split_map(records: DataFrame, path: str, seed: int | None = None, ratios: Sequence[float] = ()) -> None:
+    """(project_id, split, seed, ratios, total): the settings and the number of projects go with each row.
+
+    A project in two splits is an error.
+    """
+    pairs = records.select("project_id", "split").distinct()
+    one = pairs.groupBy("project_id").agg(F.min("split").alias("split"), F.count("*").alias("_n"))
+    checked = F.when(F.col("_n") == 1, F.col("split")).otherwise(F.raise_error(F.concat(F.lit("in two splits: "), "project_id")))
+    total = one.agg(F.count("*").alias("total"))
+    settings = [F.lit(seed).cast("long").alias("seed"), F.array(*(F.lit(float(r)) for r in ratios)).cast("array<double>").alias("ratios"), "total"]
+    one.crossJoin(F.broadcast(total)).select("project_id", checked.alias("split"), *settings).write.mode("overwrite").parquet(path)
 
 
 def write_scores(scores: DataFrame, labels: Sequence[str], path: str) -> None:
