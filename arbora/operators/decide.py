@@ -45,10 +45,15 @@ def tune_threshold(cells: DataFrame, by: By = (), grid: Sequence[float] = GRID,
     the top. keep_all returns every candidate.
     """
     values = sorted(grid)
-    table = F.array(*(F.lit(float(v)) for v in values))
     step = _at_or_under(F.col("s"), values, 0, len(values))
-    per = cells.groupBy(*by, step.alias("k")).agg(F.sum("y").alias("y"), F.count("*").alias("n"))
-    dims = cells.sparkSession.range(len(values) + 1).select(F.col("id").cast("int").alias("k"))
+    return best_threshold(cells.groupBy(*by, step.alias("k")).agg(F.sum("y").alias("y"), F.count("*").alias("n")), by, grid, lowest, keep_all)
+
+
+def best_threshold(per: DataFrame, by: By = (), grid: Sequence[float] = GRID, lowest: bool = True, keep_all: bool = False) -> DataFrame:
+    """The threshold of tune_threshold from the gold and all cells of each step (by, k, y, n)."""
+    values = sorted(grid)
+    table = F.array(*(F.lit(float(v)) for v in values))
+    dims = per.sparkSession.range(len(values) + 1).select(F.col("id").cast("int").alias("k"))
     if by:
         dims = per.select(*by).distinct().crossJoin(F.broadcast(dims))
     full = dims.join(per, [*by, "k"], "left").fillna(0, ["y", "n"])
@@ -76,7 +81,12 @@ def tune_k(voted: DataFrame, truth: DataFrame, members: int, by: By = ()) -> Dat
     gold = truth.select("row", "label").distinct()
     total = gold.agg(F.count("*").alias("gold"))
     per = voted.join(gold.withColumn("y", F.lit(1)), ["row", "label"], "left").groupBy(*by, "votes").agg(F.sum(F.coalesce("y", F.lit(0))).alias("y"), F.count("*").alias("n"))
-    dims = voted.sparkSession.range(1, members + 1).select(F.col("id").alias("votes"))
+    return best_k(per, total, members, by)
+
+
+def best_k(per: DataFrame, total: DataFrame, members: int, by: By = ()) -> DataFrame:
+    """The k of tune_k from right and all cells of each number of votes (by, votes, y, n), and the number of gold cells (gold)."""
+    dims = per.sparkSession.range(1, members + 1).select(F.col("id").alias("votes"))
     if by:
         dims = per.select(*by).distinct().crossJoin(F.broadcast(dims))
     down = Window.partitionBy(*by).orderBy(F.desc("votes")).rowsBetween(Window.unboundedPreceding, 0)
@@ -131,7 +141,31 @@ def max_probability_ood(scores: DataFrame, threshold: float | Column | None = No
 
 def ood_threshold(scores: DataFrame, by: By = (), at: float = 0.95) -> DataFrame:
     """The validation scores' linear percentile."""
-    return max_probability_ood(scores, by=by).groupBy(*by).agg(F.percentile("ood_score", F.lit(at)).alias("threshold"))
+    return linear_percentile(max_probability_ood(scores, by=by), "ood_score", at, by, "threshold")
+
+
+def linear_percentile(df: DataFrame, value: str, at: float, by: By = (), name: str = "percentile", bins: int = 4096) -> DataFrame:
+    """(by, name): the linear percentile of a column of numbers from 0 to 1, with no group's values in one task.
+
+    Equal values are counted first; the two values that frame the place are found by bins' totals, then within their bins.
+    """
+    keys = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(f"_g{i}") for i, c in enumerate(by)] or [F.lit("").alias("_g0")]
+    names = [f"_g{i}" for i in range(max(1, len(by)))]
+    v = F.col(value).cast("double")
+    spot = F.least(F.greatest(F.floor(F.col("_v") * bins), F.lit(0)), F.lit(bins - 1)).cast("int").alias("_b")
+    each = df.where(F.col(value).isNotNull()).groupBy(*by, v.alias("_v")).agg(F.count("*").alias("_n")).select(*by, *keys, spot, "_v", "_n")
+    per = each.groupBy(*names, "_b").agg(F.sum("_n").alias("_in"))  # a row a group and bin
+    down, whole = Window.partitionBy(*names).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy(*names)
+    place = (F.sum("_in").over(whole) - 1) * F.lit(float(at))
+    ends = per.select(*names, "_b", (F.sum("_in").over(down) - F.col("_in")).alias("_before"), F.sum("_in").over(down).alias("_upto"), place.alias("_place"))
+    ends = ends.where((F.col("_upto") > F.floor("_place")) & (F.col("_before") <= F.ceil("_place")))
+    inside = each.join(F.broadcast(ends), [*names, "_b"])
+    run = inside.withColumn("_to", F.col("_before") + F.sum("_n").over(Window.partitionBy(*names, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    holds = lambda k: F.max(F.when((F.col("_to") - F.col("_n") <= k) & (k < F.col("_to")), F.col("_v")))
+    low, high = F.floor("_place"), F.ceil("_place")
+    found = run.groupBy(*names).agg(*(F.first(c).alias(c) for c in by), F.first("_place").alias("_p"), holds(low).alias("_low"), holds(high).alias("_high"))
+    share = F.col("_p") - F.floor("_p")
+    return found.select(*by, (F.col("_low") * (1 - share) + F.col("_high") * share).alias(name))
 
 
 def system_ranking(metrics: DataFrame, metric: str, by: By = (), ranked: Column | None = None) -> DataFrame:

@@ -27,7 +27,9 @@ def joined_cells(truth: DataFrame, predicted: DataFrame, systems: DataFrame | No
 
 
 def counts(cells: DataFrame, by: By) -> DataFrame:
-    """tp, fp, fn of each group."""
+    """tp, fp, fn of each group; cells may be counted already (by, tp, fp, fn)."""
+    if {"tp", "fp", "fn"} <= set(cells.columns):
+        return cells.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).alias
     y, p = F.col("y") == 1, F.col("p") == 1
     return cells.groupBy(*by).agg(n(y & p)("tp"), n(~y & p)("fp"), n(y & ~p)("fn"))
@@ -147,7 +149,11 @@ def top_reliability(cells: DataFrame, by: By = (), bins: int = 10) -> DataFrame:
 
 
 def _average_precision(cells: DataFrame, keys: By) -> DataFrame:
-    steps = cells.groupBy(*keys, "s").agg(F.sum("y").alias("y"), F.count("*").alias("n"))
+    return precision_of_steps(cells.groupBy(*keys, "s").agg(F.sum("y").alias("y"), F.count("*").alias("n")), keys)
+
+
+def precision_of_steps(steps: DataFrame, keys: By) -> DataFrame:
+    """(keys, ap) from gold and all cells of each score (keys, s, y, n)."""
     w = Window.partitionBy(*keys).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
     run = steps.withColumns({"tp": F.sum("y").over(w), "all": F.sum("n").over(w)})
     return run.groupBy(*keys).agg(ratio(F.sum(F.col("y") * ratio("tp", "all")), F.sum("y")).alias("ap"))
@@ -187,6 +193,11 @@ def root_confusion(truth: DataFrame, predicted: DataFrame, roots: DataFrame) ->
     wrong = g.join(false, "row").select("gold_root", "root")
     hits = right.unionByName(wrong).groupBy("gold_root", "root").agg(F.count("*").alias("c"))
     support = g.groupBy("gold_root").agg(F.count("*").alias("support"))
+    return root_rates(hits, support, roots)
+
+
+def root_rates(hits: DataFrame, support: DataFrame, roots: DataFrame) -> DataFrame:
+    """(gold_root, root, rate) from hits (gold_root, root, c) and support (gold_root, support)."""
     dims = roots.select(F.col("label").alias("gold_root")).crossJoin(F.broadcast(roots.select(F.col("label").alias("root"))))  # roots of one tree
     return dims.join(support, "gold_root", "left").join(hits, ["gold_root", "root"], "left").select("gold_root", "root", ratio(F.coalesce("c", F.lit(0)), F.coalesce("support", F.lit(0))).alias("rate"))
 
