@@ -13,6 +13,7 @@ from arbora.operators import blocks, decide, metrics
 #: Queries whose cells are counted where a row lies.
 COUNTED: list[str] = [
     "closed_vote",
+    "depth_f1",
 ]
 
 
