@@ -14,6 +14,7 @@ from arbora.operators import blocks, decide, metrics
 COUNTED: list[str] = [
     "closed_vote",
     "depth_f1",
+    "hierarchical_metrics",
 ]
 
 
