@@ -15,6 +15,7 @@ COUNTED: list[str] = [
     "closed_vote",
     "depth_f1",
     "hierarchical_metrics",
+    "root_confusion",
 ]
 
 
