@@ -16,6 +16,8 @@ COUNTED: list[str] = [
     "depth_f1",
     "hierarchical_metrics",
     "root_confusion",
+    "soft_vote",
+    "weighted_soft_vote",
 ]
 
 
