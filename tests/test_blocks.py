@@ -18,6 +18,7 @@ COUNTED: list[str] = [
     "root_confusion",
     "soft_vote",
     "weighted_soft_vote",
+    "closure_effect",
 ]
 
 
