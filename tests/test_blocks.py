@@ -19,6 +19,7 @@ COUNTED: list[str] = [
     "soft_vote",
     "weighted_soft_vote",
     "closure_effect",
+    "tune_threshold",
 ]
 
 
