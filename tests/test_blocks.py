@@ -20,6 +20,7 @@ COUNTED: list[str] = [
     "weighted_soft_vote",
     "closure_effect",
     "tune_threshold",
+    "ood_threshold",
 ]
 
 
