@@ -21,6 +21,7 @@ COUNTED: list[str] = [
     "closure_effect",
     "tune_threshold",
     "ood_threshold",
+    "top_errors",
 ]
 
 
