@@ -22,6 +22,7 @@ COUNTED: list[str] = [
     "tune_threshold",
     "ood_threshold",
     "top_errors",
+    "ranking_metrics",
 ]
 
 
