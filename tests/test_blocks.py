@@ -23,6 +23,7 @@ COUNTED: list[str] = [
     "ood_threshold",
     "top_errors",
     "ranking_metrics",
+    "calibration_metrics",
 ]
 
 
