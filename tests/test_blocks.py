@@ -24,6 +24,7 @@ COUNTED: list[str] = [
     "top_errors",
     "ranking_metrics",
     "calibration_metrics",
+    "document_metrics",
 ]
 
 
