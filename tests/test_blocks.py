@@ -25,6 +25,7 @@ COUNTED: list[str] = [
     "ranking_metrics",
     "calibration_metrics",
     "document_metrics",
+    "system_ranking",
 ]
 
 
