@@ -26,6 +26,7 @@ COUNTED: list[str] = [
     "calibration_metrics",
     "document_metrics",
     "system_ranking",
+    "leave_one_out",
 ]
 
 
