@@ -27,6 +27,7 @@ COUNTED: list[str] = [
     "document_metrics",
     "system_ranking",
     "leave_one_out",
+    "tune_k",
 ]
 
 
