@@ -28,6 +28,7 @@ COUNTED: list[str] = [
     "system_ranking",
     "leave_one_out",
     "tune_k",
+    "hard_vote",
 ]
 
 
