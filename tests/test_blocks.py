@@ -29,6 +29,7 @@ COUNTED: list[str] = [
     "leave_one_out",
     "tune_k",
     "hard_vote",
+    "flat_metrics",
 ]
 
 
