@@ -30,6 +30,7 @@ COUNTED: list[str] = [
     "tune_k",
     "hard_vote",
     "flat_metrics",
+    "average_precision",
 ]
 
 
