@@ -31,6 +31,7 @@ COUNTED: list[str] = [
     "hard_vote",
     "flat_metrics",
     "average_precision",
+    "hard_selection",
 ]
 
 
