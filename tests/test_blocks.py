@@ -32,6 +32,7 @@ COUNTED: list[str] = [
     "flat_metrics",
     "average_precision",
     "hard_selection",
+    "top_reliability",
 ]
 
 
