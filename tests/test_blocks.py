@@ -33,6 +33,7 @@ COUNTED: list[str] = [
     "average_precision",
     "hard_selection",
     "top_reliability",
+    "tune_threshold_dense_grid",
 ]
 
 
