@@ -34,6 +34,7 @@ COUNTED: list[str] = [
     "hard_selection",
     "top_reliability",
     "tune_threshold_dense_grid",
+    "ood_metrics",
 ]
 
 
