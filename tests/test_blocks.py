@@ -35,6 +35,7 @@ COUNTED: list[str] = [
     "top_reliability",
     "tune_threshold_dense_grid",
     "ood_metrics",
+    "f1_by_gold_count",
 ]
 
 
