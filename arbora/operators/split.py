@@ -6,7 +6,7 @@ import random
 from collections.abc import Iterator, Sequence
 from fractions import Fraction
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,7 +97,8 @@ def stratified_split(records: DataFrame, ratios: Sequence[float] = (0.7, 0.15, 0
     """Adds split 0, 1, 2: iterative multi-label stratification with exact sizes (groups stay whole and may shift them).
 
     Groups are met by most labels, rarest label, a seeded draw and first appearance. Counting and grouping are
-    distributed; the greedy choice is sequential, and sees a group's id, size and labels only, never a text.
+    distributed; the greedy choice is sequential, and sees a group's id, size and labels only, never a text. Its task reads
+    groups as a stream, put in order by sorts that spill, and holds a batch of them and the counts of labels.
     """
     twice = records.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).collect()
     if twice:
@@ -108,22 +109,25 @@ def stratified_split(records: DataFrame, ratios: Sequence[float] = (0.7, 0.15, 0
     sets = exploded.groupBy("g").agg(F.array_sort(F.collect_set("label")).alias("labels"))
     table = sizes.join(sets.withColumnRenamed("g", "h"), F.col("g").eqNullSafe(F.col("h"))).select("g", "size", "first", "labels")
     wanted = list(ratios)
-
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values("first")
-        counts: dict[str, int] = {}
-        for size, names in zip(rows["size"], rows["labels"], strict=True):
-            for k in names:
-                counts[k] = counts.get(k, 0) + int(size)
-        draw = random.Random(seed)
-        keyed = [(-len(r.labels), min((counts[k] for k in r.labels), default=0), draw.random(), i) for i, r in enumerate(rows.itertuples())]
-        chooser = _Stratifier(counts, capacities(int(rows["size"].sum()), wanted), wanted)
-        out = {}
-        for *_, i in sorted(keyed):
-            out[i] = chooser.place(int(rows["size"].iat[i]), list(rows["labels"].iat[i]))
-        yield pd.DataFrame({"_arbora_g": rows["g"].to_numpy(), "split": [out[i] for i in range(len(rows))]})
-
-    placed = table.repartition(1).mapInPandas(place, "_arbora_g string, split int")
+    counts = {r["label"]: r["n"] for r in table.select(F.explode("labels").alias("label"), "size").groupBy("label").agg(F.sum("size").alias("n")).collect()}  # labels of one tree
+    room = capacities(int(table.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]), wanted)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drawn, i = random.Random(seed), 0
+        for b in batches:
+            names = b.column("labels").to_pylist()
+            keys = [pa.array([-len(x) for x in names], pa.int64()), pa.array([min((counts[k] for k in x), default=0) for x in names], pa.int64()), pa.array([drawn.random() for _ in names], pa.float64()), pa.array(range(i, i + len(names)), pa.int64())]
+            i += len(names)
+            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("size"), b.column("labels"), *keys], names=["g", "size", "labels", "_few", "_rare", "_draw", "_at"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chooser = _Stratifier(counts, room, wanted)
+        for b in batches:
+            found = [chooser.place(size, names) for size, names in zip(b.column("size").to_pylist(), b.column("labels").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("g"), pa.array(found, pa.int32())], names=["_arbora_g", "split"])
+
+    drawn = table.repartition(1).sortWithinPartitions(F.asc_nulls_last("first")).select("g", "size", "labels").mapInArrow(draw, "g string, size long, labels array<string>, _few long, _rare long, _draw double, _at long")
+    placed = drawn.sortWithinPartitions("_few", "_rare", "_draw", "_at").mapInArrow(place, "_arbora_g string, split int")
     return records.join(placed, F.col(name).cast("string").eqNullSafe(F.col("_arbora_g"))).drop("_arbora_g")
 
 
