@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import decide, hierarchy, metrics, stats
+from ..operators import blocks, decide, hierarchy, metrics, stats
 from ..operators.audit import PAIR_PREFIX
+from ..operators.blocks import Blocks
 from ..sources import readers, sinks
 
 
@@ -66,60 +68,35 @@ class Tuned:
     weighted: float
 
 
-def _picked(cells: DataFrame, thresholds: dict[str, float]) -> DataFrame:
-    at = F.create_map(*(F.lit(x) for kv in thresholds.items() for x in kv))
-    return cells.withColumn("p", F.when(F.col("s") >= F.element_at(at, F.col("member")), 1).otherwise(0))
+def tune_protocol(first: Blocks, second: Blocks, up: tuple[tuple[str, ...], np.ndarray]) -> Tuned:
+    """Member thresholds and weights from one half of the validation rows; votes, in label and node space, and soft thresholds from the other.
 
-
-def _soft(cells: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(row, label, y, soft, weighted) of dense cells: the plain mean over members, and the one by weight."""
-    w = F.element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), F.col("member"))
-    return cells.groupBy("row", "label").agg(F.max("y").alias("y"), F.avg("s").alias("soft"), (F.sum(F.col("s") * w) / F.lit(sum(weights.values()))).alias("weighted"))
-
-
-def tune_protocol(validation: DataFrame, closed: DataFrame, members: Sequence[str]) -> Tuned:
-    """Member thresholds and weights from half a of the validation cells; votes, in label and node space, and soft thresholds from half b.
-
-    Cells are dense (member, row, label, y, s, second_half); the halves are told by the hash of a row's pair.
+    up names the nodes above each label. Each half is read once, and only sums leave a task.
     """
-    a, b = validation.where("not second_half"), validation.where("second_half")
-    found = decide.tune_threshold(a, ["member"]).collect()  # a row a member
+    members = first.members
+    found = decide.best_threshold(blocks.threshold_steps(first, decide.GRID), ["member"]).collect()  # a row a member
     thresholds, weights = {r["member"]: r["threshold"] for r in found}, {r["member"]: r["micro_f1"] for r in found}
-    chosen = _picked(b, thresholds).where("p = 1").select("member", "row", "label")
-    truth = b.where("y = 1").select("row", "label").distinct()
-    up = hierarchy.close_labels(truth, closed).select("row", F.col("node").alias("label")).distinct()
-    k = decide.tune_k(decide.votes(chosen), truth, len(members)).first()["k"]
-    k_closed = decide.tune_k(decide.closed_votes(chosen, closed), up, len(members)).first()["k"]
-    soft = _soft(b, weights)
-    best = lambda c: decide.tune_threshold(soft.select("row", "label", "y", F.col(c).alias("s"))).first()["threshold"]
-    return Tuned(thresholds, weights, k, k_closed, best("soft"), best("weighted"))
+    at, w = [thresholds[m] for m in members], [weights[m] for m in members]
+    votes = blocks.vote_counts(second, at)
+    in_nodes = blocks.vote_counts(second, at, up[1])
+    k, k_closed = (decide.best_k(v.where("votes > 0"), v.agg(F.sum("y").alias("gold")), len(members)).first()["k"] for v in (votes, in_nodes))
+    soft = decide.best_threshold(blocks.soft_steps(second, decide.GRID, w), ["member"]).collect()
+    best = {r["member"]: r["threshold"] for r in soft}
+    return Tuned(thresholds, weights, k, k_closed, best["soft"], best["weighted"])
 
 
-def benchmark_job(test: DataFrame, nodes: DataFrame, closed: DataFrame, labels: DataFrame, tuned: Tuned) -> DataFrame:
-    """(system, measure, value) on a test set's dense cells: members, majority, k votes, votes in node space, soft votes, leave-one-out.
+def benchmark_job(test: Blocks, nodes: DataFrame, up: tuple[tuple[str, ...], np.ndarray], labels: DataFrame, tuned: Tuned) -> DataFrame:
+    """(system, measure, value) on test rows: members, majority, k votes, votes in node space, soft votes, leave-one-out.
 
     Votes in node space add ancestors, so they have hierarchical measures only; leave-one-out systems are named `without x`.
     """
-    members = sorted(tuned.thresholds)
-    picked = _picked(test, tuned.thresholds)
-    flat = picked.where("y = 1 or p = 1").select(F.col("member").alias("system"), "row", "label", "y", "p")
-    tally = picked.groupBy("row", "label").agg(F.max("y").alias("y"), F.sum("p").alias("v")).where("y = 1 or v > 0")
-    soft = _soft(test, tuned.weights)
-    voted = lambda source, name, ok: source.select(F.lit(name).alias("system"), "row", "label", "y", F.when(ok, 1).otherwise(0).alias("p"))
-    systems = flat.unionByName(voted(tally, "hard_majority", F.col("v") >= decide.majority(len(members)))).unionByName(voted(tally, "hard_k", F.col("v") >= tuned.k))
-    systems = systems.unionByName(voted(soft, "soft", F.col("soft") >= tuned.soft)).unionByName(voted(soft, "weighted_soft", F.col("weighted") >= tuned.weighted)).where("y = 1 or p = 1")
-    measures = metrics.flat_metrics(systems, labels, ["system"])
-    node_f1 = lambda cells: metrics.counts(cells, ["system"]).select("system", F.lit("hmicro_f1").alias("measure"), metrics.f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("value"))
-    chosen = flat.where("p = 1").select(F.col("system").alias("member"), "row", "label")
-    truth = test.where("y = 1").select("row", "label").distinct()
-    up = hierarchy.close_labels(truth, closed).select("row", F.col("node").alias("label")).distinct()
-    in_nodes = decide.closed_votes(chosen, closed).where(F.col("votes") >= tuned.k_closed).select(F.lit("hard_closed").alias("system"), "row", "label")
-    closed_cells = metrics.joined_cells(up, in_nodes, in_nodes.sparkSession.createDataFrame([("hard_closed",)], "system string"), ["system"])
-    broken = hierarchy.violation_rate(in_nodes.select("row", "label"), nodes, test.select("row").distinct()).select(F.lit("hard_closed").alias("system"), F.lit("hierarchy_violation_rate").alias("measure"), F.col("violation_rate").alias("value"))
-    names = test.sparkSession.createDataFrame([(m,) for m in members], "member string")
-    loo = decide.leave_one_out(chosen, truth, names).select(F.concat(F.lit("without "), "left_out").alias("system"), F.lit("micro_f1").alias("measure"), F.col("micro_f1").alias("value"))
+    parents = [(r["id"], r["parent"]) for r in nodes.where("parent is not null").select("id", "parent").collect()]  # one tree
+    flat, in_nodes, broken = blocks.benchmark_counts(test, tuned, up, parents, decide.majority(len(test.members)))
+    measures = metrics.flat_metrics(flat.where("not system like 'without %'"), labels, ["system"])
+    micro = lambda found, name: metrics.counts(found, ["system"]).select("system", F.lit(name).alias("measure"), metrics.f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("value"))
     long = measures.unpivot("system", [c for c in measures.columns if c != "system"], "measure", "value")
-    return long.unionByName(node_f1(hierarchical_cells(systems, closed, "system"))).unionByName(node_f1(closed_cells)).unionByName(broken).unionByName(loo)
+    rate = broken.select(F.lit("hard_closed").alias("system"), F.lit("hierarchy_violation_rate").alias("measure"), (F.col("bad") / F.col("n")).alias("value"))
+    return long.unionByName(micro(in_nodes, "hmicro_f1")).unionByName(rate).unionByName(micro(flat.where("system like 'without %'"), "micro_f1"))
 
 
 def significance_job(cells: DataFrame, pairs: DataFrame, replicates: int = 1000) -> DataFrame:
