@@ -1,9 +1,11 @@
 """Queries whose work is bounded in memory and shuffle, against plain formulas."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from arbora import catalog
-from arbora.operators import joins, split
+from arbora.operators import joins, models, split
 
 
 def test_sparse_top(spark, monkeypatch):
@@ -35,3 +37,51 @@ def test_stratified_split_streams(spark):
         assert [tuple(r) for r in split.stratified_split(rows).select("id", "split").orderBy("id").collect()] == whole
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def test_vectors_are_made_where_a_text_lies(spark):
+    """bags, totals and vectors against terms, vocabulary and tfidf, rows of one id and of none included; no term is shuffled."""
+    docs = spark.createDataFrame([(0, "The cat the cat x"), (1, "a cat sat"), (2, None), (3, ""), (1, "sat the"), (None, "the dog"), (None, "dog cat")], "row int, text string")
+    tf = models.terms(docs, 1)
+    for d, want in ((docs, tf), (docs.where("row <> 1"), models.terms(docs.where("row <> 1"), 1))):
+        found = models.bags(d)
+        vocab, same = models.vocabulary(want, 2, 10), models.most_counted(models.term_totals(found), 2, 10)
+        assert sorted(map(tuple, same.collect())) == sorted(map(tuple, vocab.collect()))
+        plain = lambda w: sorted((r["row"], r["term"], round(r["w"], 9)) for r in w.collect())
+        assert plain(models.tfidf_vectors(found, vocab, 5).long()) == plain(models.tfidf(want, vocab, 5))
+    one = models.tfidf_vectors(models.bags(docs.where("row <> 1")), vocab, 5)
+    assert "Aggregate" not in one.rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_linear_model_is_fitted_in_passes(spark, monkeypatch):
+    """Coefficients and sigmoids as one plain descent a label gives them, with labels in turns and small pieces; no row meets a label in a join."""
+    monkeypatch.setattr(models, "MODEL_BLOCK", 8)
+    rng = np.random.default_rng(0)
+    x = np.where(rng.random((40, 4)) < 0.6, rng.random((40, 4)), 0)
+    x[:, 0] = 1
+    y = {"p": x[:, 1] > 0.3, "q": x[:, 2] > 0.5, "none": np.zeros(40, bool)}
+    fold = np.arange(40) % 3
+    w = spark.createDataFrame([(i, f"t{j}", float(x[i, j])) for i in range(40) for j in range(4) if x[i, j]], "row int, term string, w double")
+    truth = spark.createDataFrame([(i, k) for k, v in y.items() for i in range(40) if v[i]] + [(99, "none")], "row int, label string")
+    model = models.fit_linear(w, truth, spark.createDataFrame([(i, int(f)) for i, f in enumerate(fold)], "row int, fold int"), steps=20)
+    got = {(r["label"], r["fold"]): r for r in model.collect()}
+    assert set(got) == {(k, f) for k in "pq" for f in range(3)}
+    for (k, f), r in got.items():
+        use, s = fold != f, np.where(y[k], 1.0, -1.0)
+        c, b, vc, vb = np.zeros(4), 0.0, np.zeros(4), 0.0
+        for _ in range(20):
+            g = np.where(use, -2 * s * np.maximum(0, 1 - s * (x @ c + b)), 0)
+            vc, vb = 0.9 * vc - (c + x.T @ g) / (2 * use.sum() + 1), 0.9 * vb - g.sum() / (2 * use.sum() + 1)
+            c, b = c + vc, b + vb
+        assert [r["coef"][f"t{j}"] for j in range(4)] == pytest.approx(c.tolist()) and r["bias"] == pytest.approx(b)
+        z, pos = (x @ c + b)[~use], y[k][~use]
+        off = 1 / (1 + np.exp(-(r["a"] * z + r["b"]))) - np.where(pos, (pos.sum() + 1) / (pos.sum() + 2), 1 / ((~pos).sum() + 2))
+        assert abs((off * z).sum()) < 1e-4 and abs(off.sum()) < 1e-4
+    plan = models.score_linear(w, model)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, (row" not in plan and "fold" not in plan
+
+
+def test_naive_bayes_scores_are_made_where_a_text_lies(spark, sf):
+    made = catalog.queries()["naive_bayes_scores"](spark, sf)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
