@@ -105,3 +105,15 @@ def test_noise_column(spark):
     df = spark.createDataFrame([("a", "some text here"), ("b", None), ("c", " ")], "id string, text string")
     got = {r["id"]: r["x"] for r in df.select("id", noise.perturb("text", "id").alias("x")).collect()}
     assert got["b"] is None and got["c"] is None and got["a"] == noise.perturbed("some text here", "a")
+
+
+def test_sentences_are_cut_once(spark, sf):
+    """Each regular expression is in the plan once, so a text is cut once."""
+    from arbora import catalog
+
+    made = catalog.queries()["segment_sentences"](spark, sf)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("md5(") == 1
+    texts = [(1, None), (2, " "), (3, "."), (4, "One. Two e.g. x. Three")]
+    got = spark.createDataFrame(texts, "i int, t string").select("i", text.segment_sentences("t").alias("s")).orderBy("i").collect()
+    assert [r["s"] for r in got] == [None, [], ["."], ["One.", "Two e.g. x.", "Three"]]
