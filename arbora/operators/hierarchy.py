@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,27 +130,80 @@ def coverage_counts(projects: DataFrame, assignments: DataFrame, nodes: DataFram
     projects (pid, split), assignments (pid, code), stored and direct (pid, label). The ten counts are
     projects, projects losing codes and codes lost, projects whose roll-up would add a label, closures and
     nodes missing, projects and roots missing, closures and paths missing of the unpruned tree.
+
+    Codes and nodes (of one tree) are numbered by the driver. Slim rows of all four tables meet in one spilling sort by project and
+    are counted as a stream; only sums leave a task.
     """
-    own = assignments.join(projects.select("pid"), "pid", "left_semi").distinct()
+    spark = projects.sparkSession
+    codes = assignments.where("code is not null").select("code").distinct()
     supported = nodes.where("is_direct_supported").select(F.col("id").alias("code"))
-    dropped = own.join(supported, "code", "left_anti")
-    lost = dropped.groupBy("pid").agg(F.count("*").alias("lost"))
-    up = nearest_supported(dropped, supported).where("nearest is not null")
-    added = dropped.join(up, "code").select("pid", F.col("nearest").alias("label")).distinct().join(direct.select("pid", "label"), ["pid", "label"], "left_anti").select("pid", F.lit(1).alias("adds")).distinct()
-    kept = stored.select("pid", F.col("label").alias("node"))
-    gaps = implied_nodes(own, nodes).join(kept, ["pid", "node"], "left_anti").join(nodes.select(F.col("id").alias("node"), "is_root"), "node")
-    missing = gaps.groupBy("pid").agg(F.count("*").alias("nodes"), F.count_if("is_root").alias("roots"))
-    every = own.select("pid", F.explode(code_prefixes("code")).alias("node")).distinct().join(kept, ["pid", "node"], "left_anti").groupBy("pid").agg(F.count("*").alias("paths"))
-    flat = projects
-    for part in (lost, added, missing, every):
-        flat = flat.join(part, "pid", "left")
-    n = lambda c: F.coalesce(c, F.lit(0))
-    some = lambda c: F.sum(F.when(n(c) > 0, 1).otherwise(0))
-    return flat.rollup("split").agg(
-        F.count("*").alias("projects"), some("lost").alias("projects_losing_codes"), F.sum(n("lost")).alias("codes_lost"), some("adds").alias("projects_rollup_would_add_label"),
-        some("nodes").alias("closures_missing_nodes"), F.sum(n("nodes")).alias("nodes_missing"), some("roots").alias("projects_missing_root"), F.sum(n("roots")).alias("roots_missing"),
-        some("paths").alias("closures_missing_unpruned_paths"), F.sum(n("paths")).alias("unpruned_paths_missing"),
-    ).withColumn("split", F.coalesce("split", F.lit("all")))
+    met = codes.select("code", code_prefixes("code").alias("up")).join(nearest_supported(codes, supported), "code").collect()  # codes of one tree
+    names = sorted({x for r in met for x in (r["code"], *r["up"])})
+    at = {x: i for i, x in enumerate(names)}
+    depth = max((len(r["up"]) for r in met), default=1)
+    up, nearest, direct_ok = np.full((len(names), depth), -1), np.full(len(names), -1), np.zeros(len(names), bool)
+    for r in met:
+        up[at[r["code"]], : len(r["up"])] = [at[x] for x in r["up"]]
+        nearest[at[r["code"]]] = at.get(r["nearest"], -1)
+    for r in supported.distinct().collect():
+        if r["code"] in at:
+            direct_ok[at[r["code"]]] = True
+    in_tree, is_root = np.zeros(len(names), bool), np.zeros(len(names), bool)
+    for r in nodes.select("id", "is_root").collect():
+        if r["id"] in at:
+            in_tree[at[r["id"]]], is_root[at[r["id"]]] = True, bool(r["is_root"])
+    numbers = F.broadcast(spark.createDataFrame([(x, i) for x, i in zip(names, range(len(names)), strict=True)], "_label string, i int"))
+    slim = lambda d, label, kind: d.where("pid is not null").join(numbers, F.col(label) == F.col("_label")).select("pid", F.lit(kind).alias("kind"), "i", F.lit(None).cast("string").alias("split"))
+    rows = slim(assignments, "code", 0).unionByName(slim(stored, "label", 1)).unionByName(slim(direct, "label", 2)).unionByName(projects.select("pid", F.lit(3).alias("kind"), F.lit(0).alias("i"), F.col("split").cast("string").alias("split")))
+    counts = ("projects", "projects_losing_codes", "codes_lost", "projects_rollup_would_add_label", "closures_missing_nodes", "nodes_missing", "projects_missing_root", "roots_missing", "closures_missing_unpruned_paths", "unpruned_paths_missing")
+
+    def count(pid: pa.Array, kind: np.ndarray, i: np.ndarray, split: pa.Array) -> pa.RecordBatch:
+        new = pc.fill_null(pc.not_equal(pid.slice(1), pid.slice(0, len(pid) - 1)), True).to_numpy(zero_copy_only=False)
+        group = np.concatenate(([0], np.cumsum(new))).astype(np.int64)
+        size = max(1, len(names))
+        key, n = group * size + i, int(group[-1]) + 1
+        own = np.unique(key[kind == 0])
+        g, code = own // size, own % size
+        lost = ~direct_ok[code]
+        rolled = np.flatnonzero(lost & (nearest[code] >= 0))
+        added = np.setdiff1d(g[rolled] * size + nearest[code[rolled]], key[kind == 2])
+        path, k = np.nonzero(up[code] >= 0)
+        gap = np.setdiff1d(g[path] * size + up[code[path], k], key[kind == 1])
+        tree = in_tree[gap % size]
+        per = [np.bincount(x, minlength=n) for x in (g[lost], added // size, gap[tree] // size, gap[tree & is_root[gap % size]] // size, gap // size)]
+        at = np.flatnonzero(kind == 3)
+        named = split.take(pa.array(at)).dictionary_encode(null_encoding="encode")
+        which, one = named.indices.to_numpy(zero_copy_only=False), [x[group[at]] for x in per]
+        sums = [np.ones(len(at)), one[0] > 0, one[0], one[1] > 0, one[2] > 0, one[2], one[3] > 0, one[3], one[4] > 0, one[4]]
+        made = [pa.array(np.bincount(which, x, len(named.dictionary)).astype(np.int64)) for x in sums]
+        return pa.RecordBatch.from_arrays([named.dictionary, *made], names=["split", *counts])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def joined(upto: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(upto).combine_chunks()
+            column = [table.column(c).chunk(0) for c in range(4)]
+            return count(column[0], column[1].to_numpy(), column[2].to_numpy(), column[3])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            differs = pc.fill_null(pc.not_equal(b.column(0), b.column(0)[b.num_rows - 1]), True).to_numpy(zero_copy_only=False)
+            cut = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0  # where the last project of the batch begins
+            if cut:
+                yield joined([*held, b.slice(0, cut)])
+                held = []
+            elif held and held[-1].column(0)[held[-1].num_rows - 1].as_py() != b.column(0)[0].as_py():
+                yield joined(held)
+                held = []
+            if cut < b.num_rows:
+                held.append(b.slice(cut))
+        if held:
+            yield joined(held)
+
+    placed = rows.repartition("pid").sortWithinPartitions("pid").mapInArrow(run, "split string, " + ", ".join(f"{c} long" for c in counts))
+    return placed.rollup("split").agg(*(F.sum(c).alias(c) for c in counts)).withColumn("split", F.coalesce("split", F.lit("all")))
 
 
 def unchanged(a: DataFrame, b: DataFrame) -> bool:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arbora import catalog
-from arbora.operators import joins, models, split
+from arbora.operators import hierarchy, joins, models, split
 
 
 def test_sparse_top(spark, monkeypatch):
@@ -85,3 +85,20 @@ def test_naive_bayes_scores_are_made_where_a_text_lies(spark, sf):
     made = catalog.queries()["naive_bayes_scores"](spark, sf)
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Join" not in plan
+
+
+def test_coverage_is_counted_as_a_stream(spark):
+    """Counts by hand, with projects over batches, repeated, without codes and without an id; no node meets projects in a join by its name."""
+    nodes = spark.createDataFrame([("/a", True, False), ("/a/b", False, True), ("/c", True, True)], "id string, is_root boolean, is_direct_supported boolean")
+    assigned = spark.createDataFrame([(1, "/a/b"), (1, "/a/b/x"), (1, "/a/b/x"), (2, "/c"), (3, "/d/e"), (9, "/c"), (None, "/c")], "pid int, code string")
+    projects = spark.createDataFrame([(1, "a"), (2, "a"), (2, "a"), (3, "b"), (4, "b"), (None, "b")], "pid int, split string")
+    stored = spark.createDataFrame([(1, "/a/b"), (2, "/c"), (2, "/z")], "pid int, label string")
+    direct = spark.createDataFrame([(2, "/c")], "pid int, label string")
+    want = {"a": (3, 1, 1, 1, 1, 1, 1, 1, 1, 2), "b": (3, 1, 1, 0, 0, 0, 0, 0, 1, 2), "all": (6, 2, 2, 1, 1, 1, 1, 1, 2, 4)}
+    for rows in ("1", "3", "1000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        made = hierarchy.coverage_counts(projects, assigned, nodes, stored, direct)
+        assert {r["split"]: tuple(r)[1:] for r in made.collect()} == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "Join LeftOuter" not in plan
