@@ -116,4 +116,4 @@ def test_sentences_are_cut_once(spark, sf):
     assert plan.count("split(") == 1 and plan.count("md5(") == 1
     texts = [(1, None), (2, " "), (3, "."), (4, "One. Two e.g. x. Three")]
     got = spark.createDataFrame(texts, "i int, t string").select("i", text.segment_sentences("t").alias("s")).orderBy("i").collect()
-    assert [r["s"] for r in got] == [None, [], ["."], ["One.", "Two e.g. x.", "Three"]]
+    assert [r["s"] for r in got] == [[None], [], ["."], ["One.", "Two e.g. x.", "Three"]]
