@@ -374,12 +374,21 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     near = written(near.distinct(), "near")
     wide = written(connected_components(near), "near-groups")
     sets = _shingle_sets(named, found, wide, width)
-    links = _checked(near, sets, similarity)
-    links = written(links.unionByName(_between_parts(sets, wide, connected_components(links), similarity, tile)), "links")
-    parts = connected_components(links)
+    parts = written(connected_components(_checked(near, sets, similarity)), "parts")
+    parts = _joined(parts, written(_between_parts(sets, wide, parts, similarity, tile), "between"))
     return found.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("id", "th", "fp", F.coalesce("root", "fp").alias("root"))
 
 
+def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root): parts (node, root) that links (a, b) join, texts that have no part too; only the roots of parts are linked anew."""
+    if links.isEmpty():
+        return parts
+    a, b = (parts.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    over = written(connected_components(links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))), "joined-parts")
+    moved = parts.join(over.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return moved.unionByName(over.join(parts, "node", "left_anti"))
+
+
 def _shingle_sets(named: DataFrame, found: DataFrame, wide: DataFrame, width: int) -> DataFrame:
     """(fp, bits, hashes) of each fp that has a near one, from one of its texts; only those texts are shuffled."""
     key = [F.coalesce(F.col("id").cast("string"), F.lit("")).alias("_id"), "th"]

@@ -65,3 +65,20 @@ def test_nnpu_risk_and_gradient():
             assert np.sign(model.w[column]) == -np.sign(slope)
     fitted, later = pu_quality.fit_nnpu(p, u, prior, steps=60)
     assert 0 <= later < risk
+
+
+def test_components_take_no_step_beyond_stars(spark, monkeypatch):
+    """Stars are seen by a count; parts that later links join are linked by their roots alone."""
+    from arbora.llm import components, simhash
+
+    steps, star = [], components._star
+    monkeypatch.setattr(components, "_star", lambda *a, **b: steps.append(1) or star(*a, **b))
+    pairs = [(1, 5), (1, 6), (2, 7), (3, 3)]
+    parts = components.connected_components(spark.createDataFrame(pairs, "a long, b long"))
+    assert {tuple(r) for r in parts.collect()} == {(1, 1), (5, 1), (6, 1), (2, 2), (7, 2), (3, 3)} and not steps
+    links = spark.createDataFrame([(6, 7), (7, 9), (10, 11)], "a long, b long")
+    joined = {tuple(r) for r in simhash._joined(parts, links).collect()}
+    assert joined == {(1, 1), (5, 1), (6, 1), (2, 1), (7, 1), (9, 1), (3, 3), (10, 10), (11, 10)}
+    assert simhash._joined(parts, links.limit(0)) is parts
+    chain = spark.createDataFrame([(i, i + 1) for i in range(4)], "a long, b long")
+    assert {tuple(r) for r in components.connected_components(chain).collect()} == {(i, 0) for i in range(5)}
