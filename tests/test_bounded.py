@@ -102,3 +102,17 @@ def test_coverage_is_counted_as_a_stream(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan and "Join LeftOuter" not in plan
+
+
+def test_naive_bayes_labels_go_with_their_texts(spark, sf):
+    """Sums of labels that came with the texts are those of a join, for repeated ids, null ids, null labels and no terms too; vectors meet no table."""
+    docs = spark.createDataFrame([(1, "aa bb bb", "x"), (2, "aa cc", None), (3, "bb", "x"), (3, "cc cc", "y"), (3, "aa", None), (4, "", "y"), (None, "aa bb", "x"), (5, None, "z"), (6, "aa", "y")], "row int, text string, label string")
+    truth = docs.select("row", "label")
+    got = []
+    for label in ("label", None):
+        found = models.bags(docs, label=label)
+        v = models.tfidf_vectors(found, models.most_counted(models.term_totals(found), 1), 9)
+        got.append({(r["label"], r["term"]): pytest.approx(r["sum"]) for r in models.label_sums(v, truth).collect()})
+    assert got[0] == {k: x.expected for k, x in got[1].items()} and {k[0] for k in got[0]} == {None, "x", "y"}
+    rows = catalog._vectors(spark, sf, "lang").rows
+    assert rows.columns[3:] == ["labels"] and "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
