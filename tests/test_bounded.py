@@ -116,3 +116,48 @@ def test_naive_bayes_labels_go_with_their_texts(spark, sf):
     assert got[0] == {k: x.expected for k, x in got[1].items()} and {k[0] for k in got[0]} == {None, "x", "y"}
     rows = catalog._vectors(spark, sf, "lang").rows
     assert rows.columns[3:] == ["labels"] and "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_vectors_top_meets_all_pairs(spark, sf, monkeypatch):
+    """Every pair, by brute force: with copies, ties, few shared terms, values under 0 and out of single precision, in small blocks; vectors are not taken apart."""
+    monkeypatch.setattr(joins, "SPARSE_BLOCK", 400)
+    monkeypatch.setattr(joins, "GATHERED", 50)
+    rng = np.random.default_rng(1)
+    x = np.where(rng.random((240, 12)) < 0.3, rng.integers(1, 4, (240, 12)) / 4.0, 0)
+    x[40:90], x[100], x[60:240:20] = x[40], 0, x[60]
+    for change in (lambda x: x, lambda x: np.where(rng.random(x.shape) < 0.2, -x, x), lambda x: x * 2.0 ** rng.integers(-12, 60, (240, 1))):
+        made = change(x)
+        rows = spark.createDataFrame([(i, np.flatnonzero(v).tolist(), v[v != 0].tolist()) for i, v in enumerate(made)], "doc long, at array<int>, w array<double>").repartition(3)
+        got = joins.vectors_top(rows.where("doc % 20 = 0").withColumnRenamed("doc", "query"), rows, 12, 5)
+        want = []
+        for q in range(0, 240, 20):
+            s = np.round(made @ made[q], 9)
+            best = [i for i in np.lexsort((np.arange(240), -s)) if i != q and s[i] > 0][:5]
+            want += [(q, int(i), rank + 1) for rank, i in enumerate(best)]
+        assert sorted(tuple(r) for r in got.select("query", "doc", "rank").collect()) == sorted(want)
+    plan = catalog.queries()["sparse_knn"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "explode" not in plan
+
+
+def test_dense_top_keeps_k_rows_a_task(spark, monkeypatch):
+    """All pairs by brute force, equal vectors in the order of doc; before the ranks a query has at most k rows of each task, however many batches that reads."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(300, 6))
+    v[50:80], v[7] = v[50], 0
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "doc long, v array<double>")
+    kept = []
+    plain = joins.best_by_rank
+    monkeypatch.setattr(joins, "best_by_rank", lambda sims, k: kept.append(sims) or plain(sims, k))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = sorted((r["query"], r["rank"], r["doc"]) for r in joins.dense_top(rows.where("doc % 20 = 0 or doc = 7").withColumnRenamed("doc", "query"), rows, 5).collect())
+        most = max(r["count"] for r in kept[0].groupBy("query", F.spark_partition_id().alias("task")).count().collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    u = v / np.where(n > 0, n, 1)
+    want = []
+    for q in [*range(0, 300, 20)]:
+        s = np.einsum("ij,j->i", u, u[q])
+        want += [(q, rank + 1, int(i)) for rank, i in enumerate([i for i in np.lexsort((np.arange(300), -np.round(s, 12))) if s[i] > 0][:5])]
+    assert got == sorted(want) and most <= 5
