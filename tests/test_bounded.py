@@ -161,3 +161,38 @@ def test_dense_top_keeps_k_rows_a_task(spark, monkeypatch):
         s = np.einsum("ij,j->i", u, u[q])
         want += [(q, rank + 1, int(i)) for rank, i in enumerate([i for i in np.lexsort((np.arange(300), -np.round(s, 12))) if s[i] > 0][:5])]
     assert got == sorted(want) and most <= 5
+
+
+def test_stratified_split_sorts_in_ranges(spark):
+    """The plain greedy choice row by row, for ids, groups of several rows, null ids and null labels; the one task sorts batches' numbers and no groups."""
+    import random
+
+    rng = random.Random(3)
+    data = [(None if i % 97 == 5 else i, f"g{rng.randrange(90)}" if i % 9 else None, rng.choice([None, [], ["a"], ["b", "a", "b"], ["c", None], ["c", "d", "a"], ["e"]]), rng.random()) for i in range(400)]
+    rows = spark.createDataFrame(data, "id int, g string, labels array<string>, ord double").repartition(4)
+
+    def plain(at):
+        own = {}
+        for row in sorted(data, key=lambda r: r[3]):
+            size, names = own.get(row[at], (0, set()))
+            own[row[at]] = size + 1, names | {x for x in row[2] or [] if x is not None}
+        counts = {k: sum(n for n, names in own.values() if k in names) for k in "abcde"}
+        room, share, drawn = split.capacities(400, (0.7, 0.15, 0.15)), (0.7, 0.15, 0.15), random.Random(42)
+        full, target, found = list(room), [{k: n * r for k, n in counts.items()} for r in (0.7, 0.15, 0.15)], {}
+        keyed = [(-len(names), min((counts[k] for k in names), default=0), drawn.random(), i, g) for i, (g, (n, names)) in enumerate(own.items())]
+        for *_, g in sorted(keyed, key=lambda x: x[:4]):
+            size, names = own[g][0], sorted(own[g][1])
+            able = [s for s in range(3) if room[s] >= size] or [s for s in range(3) if room[s] > 0] or [0, 1, 2]
+            best = max(able, key=lambda s: (sum(target[s][k] / max(counts[k] * share[s], 0.1) for k in names) / len(names) if names else 0.0, room[s] / full[s], -s))
+            room[best] -= size
+            for k in names:
+                target[best][k] -= size
+            found[g] = best
+        return found
+
+    for at, group in ((0, None), (1, "g")):
+        want = plain(at)
+        made = split.stratified_split(rows, group=group)
+        assert sorted((r["ord"], r["split"]) for r in made.collect()) == sorted((r[3], want[r[at]]) for r in data)
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "rangepartitioning(_few" in plan and "Sort [p#" in plan
