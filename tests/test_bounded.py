@@ -196,3 +196,12 @@ def test_stratified_split_sorts_in_ranges(spark):
         assert sorted((r["ord"], r["split"]) for r in made.collect()) == sorted((r[3], want[r[at]]) for r in data)
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert "rangepartitioning(_few" in plan and "Sort [p#" in plan
+
+
+def test_neighbour_votes_search_once(spark):
+    """Shares by hand, a neighbour without a label in the mass; what the search made is read once."""
+    fused = spark.createDataFrame([(1, 10, 0.5), (1, 11, 0.25), (1, 12, 0.25), (2, 12, 0.5)], "query long, doc long, fused double").mapInArrow(lambda batches: batches, "query long, doc long, fused double")
+    labels = spark.createDataFrame([(10, "a"), (10, "a"), (11, "b"), (11, "a")], "doc long, label string")
+    made = models.neighbour_votes(fused, labels, spark.createDataFrame([(1,), (2,), (3,)], "query long"))
+    assert {(r["query"], r["label"]): r["s"] for r in made.collect()} == {(1, "a"): 0.75, (1, "b"): 0.25, (2, "a"): 0.0, (2, "b"): 0.0, (3, "a"): 0.0, (3, "b"): 0.0}
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
